@@ -1,4 +1,4 @@
-"""Iterative operators on the assay graph. Every round ends in a checkpoint."""
+"""Iterative operators on the assay graph. Every round ends in a written table."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions import titres as T
 from serospark.operators.titres import involved_names, numeric_edges
-from serospark.plans.skew import HOT_ROWS, keep_members, lookup
+from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup, slice_size
 from serospark.session import cut_lineage
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool]) -> DataFrame:
-    """Apply ``step`` until ``done(old, new)``; states are checkpointed, so plans stay short."""
+    """Apply ``step`` until ``done(old, new)``; states are written out, so plans stay short."""
     state = cut_lineage(start)
     while True:
         following = cut_lineage(step(state))
@@ -28,7 +28,7 @@ def prune_sparse(
     column: str = "virus_2",
     titre: str = "titre",
     min_valid: int = 4,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Drop rows and columns with fewer than ``min_valid`` numeric cells until nothing changes.
 
@@ -38,13 +38,14 @@ def prune_sparse(
         numeric = F.count_if(T.titre_kind(F.col(titre)) == T.NUMBER)
         rows = state.groupBy(row).agg(numeric.alias("_n")).filter(F.col("_n") >= min_valid).select(row)
         columns = state.groupBy(column).agg(numeric.alias("_n")).filter(F.col("_n") >= min_valid).select(column)
-        kept = lookup(state, rows, row, "inner", hot_rows)
-        return lookup(kept, columns, column, "inner", hot_rows).select(*state.columns)
+        hot = slice_size(state, hot_rows)
+        kept = lookup(state, rows, row, "inner", hot)
+        return lookup(kept, columns, column, "inner", hot).select(*state.columns)
 
     return fixpoint(cells, step, lambda old, new: old.count() == new.count())
 
 
-def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``(name, component)`` for undirected edges ``(a, b)``; the component is its smallest name.
 
     Alternates the large-star and small-star steps of the published min-label method, which needs
@@ -55,19 +56,20 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     def oriented(df: DataFrame) -> DataFrame:
         return df.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
-    def large_star(state: DataFrame) -> DataFrame:
+    def large_star(state: DataFrame, hot: int | None) -> DataFrame:
         mirrored = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = mirrored.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
         larger = mirrored.filter(F.col("v") > F.col("u"))
-        return lookup(larger, lowest, "u", "inner", hot_rows).select(F.col("v").alias("a"), F.col("_m").alias("b"))
+        return lookup(larger, lowest, "u", "inner", hot).select(F.col("v").alias("a"), F.col("_m").alias("b"))
 
-    def small_star(state: DataFrame) -> DataFrame:
+    def small_star(state: DataFrame, hot: int | None) -> DataFrame:
         lowest = state.groupBy("u").agg(F.min("v").alias("_m"))
-        linked = lookup(state, lowest, "u", "inner", hot_rows)
+        linked = lookup(state, lowest, "u", "inner", hot)
         return linked.select(F.col("v").alias("a"), F.col("_m").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("_m").alias("b")))
 
     def step(state: DataFrame) -> DataFrame:
-        return oriented(small_star(oriented(large_star(state))))
+        hot = slice_size(state, hot_rows)
+        return oriented(small_star(oriented(large_star(state, hot)), hot))
 
     def is_stars(_: DataFrame, state: DataFrame) -> bool:
         leaves = state.select(F.col("u").alias("v"))
@@ -86,10 +88,10 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 
 def largest_component(
-    cells: DataFrame, row: str = "virus_1", column: str = "virus_2", titre: str = "titre", hot_rows: int = HOT_ROWS
+    cells: DataFrame, row: str = "virus_1", column: str = "virus_2", titre: str = "titre", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Cells whose row and column lie in the component with the most names (ties: smallest id)."""
     components = cut_lineage(connected_components(numeric_edges(cells, row, column, titre), hot_rows))
     best = component_sizes(components).orderBy(F.desc("n_names"), "component").limit(1).select("component")
     names = components.join(F.broadcast(best), "component", "left_semi").select("name")
-    return keep_members(keep_members(cells, names, row, hot_rows), names, column, hot_rows)
+    return keep_both_ends(cells, names, row, column, hot_rows)

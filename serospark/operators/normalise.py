@@ -71,13 +71,13 @@ def range_scale_cells(mats: DataFrame) -> DataFrame:
     return mats.withColumn("cells", scaled)
 
 
-def zscore_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", hot_rows: int = HOT_ROWS) -> DataFrame:
+def zscore_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Z-score of a long column within groups of any size."""
     stats = with_group_stats(df, keys, {"_mean": F.avg(value), "_std": F.stddev_pop(value)}, hot_rows)
     return stats.withColumn(out, F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
 
 
-def range_scale_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "scaled", hot_rows: int = HOT_ROWS) -> DataFrame:
+def range_scale_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "scaled", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``v / (max - min)`` of a long column within groups of any size, 0 where the range is 0."""
     stats = with_group_stats(df, keys, {"_span": F.max(value) - F.min(value)}, hot_rows)
     scaled = F.when(F.col("_span") > 0, F.col(value) / F.col("_span")).otherwise(F.lit(0.0))
@@ -257,6 +257,6 @@ def top_n(df: DataFrame, n: int, by: str = "weight", name: str = "prop_name", as
     return df.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), name).limit(n)
 
 
-def select_by_names(props: DataFrame, ranked: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def select_by_names(props: DataFrame, ranked: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Properties named in ``ranked`` (``prop_name, weight``); the weight travels with the name."""
     return lookup(props, ranked.select(F.col("prop_name").alias("prop"), "weight"), "prop", "inner", hot_rows)

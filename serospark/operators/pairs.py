@@ -15,17 +15,18 @@ from serospark.functions import pairs as P
 from serospark.functions import residues as R
 from serospark.functions.constants import EPITOPES, KEY_SITES, SCALES
 from serospark.functions.hashing import fold_of, unit_hash
-from serospark.plans.skew import HOT_ROWS, keep_members, lookup, lookup_as
+from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup, lookup_as, slice_size
 
 
-def attach_sequences(pairs: DataFrame, seqs: DataFrame, columns: Sequence[str] = ("seq",), hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_sequences(pairs: DataFrame, seqs: DataFrame, columns: Sequence[str] = ("seq",), hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``<column>_a`` and ``<column>_b`` from the table ``seqs`` (one row per ``name``)."""
+    hot_rows = slice_size(pairs, hot_rows)
     out = lookup_as(pairs, seqs, "a", "name", {c: f"{c}_a" for c in columns}, hot_rows=hot_rows)
     out = lookup_as(out, seqs, "b", "name", {c: f"{c}_b" for c in columns}, hot_rows=hot_rows)
     return out.select(*pairs.columns, *[f"{c}_{end}" for c in columns for end in "ab"])
 
 
-def labelled_pairs(distances: DataFrame, seqs: DataFrame, order: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def labelled_pairs(distances: DataFrame, seqs: DataFrame, order: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Unordered pairs with a known distance and both sequences: ``(a, b, dist, seq_a, seq_b)``.
 
     A symmetric table holds each pair twice; the row whose first name comes first is kept. "First"
@@ -37,7 +38,7 @@ def labelled_pairs(distances: DataFrame, seqs: DataFrame, order: str | None = No
     return both.filter(F.col(f"{order}_a") < F.col(f"{order}_b")).drop(f"{order}_a", f"{order}_b")
 
 
-def attach_distance(pairs: DataFrame, distances: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_distance(pairs: DataFrame, distances: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Label ``(a, b)`` rows with ``dist``; pairs without a distance drop."""
     return lookup(pairs, distances.select("a", "b", "dist"), ["a", "b"], "inner", hot_rows)
 
@@ -165,7 +166,7 @@ def combined_features(df: DataFrame, scalar_table: Column, matrix_table: Column)
     return out.withColumn("features", F.concat("x0", "x1", "x2")).drop("codes_a", "codes_b")
 
 
-def pair_distances(pairs: DataFrame, points: DataFrame, name: str = "dist", hot_rows: int = HOT_ROWS) -> DataFrame:
+def pair_distances(pairs: DataFrame, points: DataFrame, name: str = "dist", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """L2 distance of the listed pairs from ``points`` ``(name, point ARRAY)``."""
     both = attach_sequences(pairs, points, ("point",), hot_rows)
     return both.withColumn(name, P.euclidean(F.col("point_a"), F.col("point_b"))).drop("point_a", "point_b")
@@ -177,13 +178,14 @@ def both_directions(distances: DataFrame, value: str = "dist") -> DataFrame:
     return distances.select("a", "b", value).unionByName(mirrored)
 
 
-def patch_distances(distances: DataFrame, predicted: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def patch_distances(distances: DataFrame, predicted: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Distances between predicted names, with predictions in place of truth in both directions.
 
     ``distances`` is symmetric; ``predicted`` is ``(a, b, prediction)`` with one row per pair.
     """
     names = predicted.select("a").union(predicted.select(F.col("b").alias("a")))
-    cut = keep_members(keep_members(distances, names, "a", hot_rows), names, "b", hot_rows)
+    hot_rows = slice_size(distances, hot_rows)
+    cut = keep_both_ends(distances, names, "a", "b", hot_rows)
     patched = lookup(cut, both_directions(predicted, "prediction"), ["a", "b"], "left", hot_rows)
     return patched.withColumn("patched", F.coalesce("prediction", "dist")).drop("prediction")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from serospark.functions import residues as R
-from serospark.plans.skew import HOT_ROWS, keep_members, lookup, lookup_as
+from serospark.plans.skew import HOT_ROWS, keep_both_ends, keep_members, lookup, lookup_as
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -23,7 +23,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
-def keep_named(df: DataFrame, names: DataFrame, column: str = "name", hot_rows: int = HOT_ROWS) -> DataFrame:
+def keep_named(df: DataFrame, names: DataFrame, column: str = "name", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     return keep_members(df, names, column, hot_rows)
 
 
@@ -67,7 +67,7 @@ def undated_names(df: DataFrame) -> DataFrame:
 
 
 def representative_map(
-    df: DataFrame, order: Sequence[str] = ("file", "pos"), hot_rows: int = HOT_ROWS
+    df: DataFrame, order: Sequence[str] = ("file", "pos"), hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """``(name, representative)`` for every name; for a repeated name its last record counts."""
     reps = representatives(df, order)
@@ -86,16 +86,15 @@ def first_n(df: DataFrame, n: int, order: Sequence[str] = ("file", "pos")) -> Da
     return df.orderBy(*order).limit(n)
 
 
-def common_names(seqs: DataFrame, distances: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def common_names(seqs: DataFrame, distances: DataFrame, hot_rows: int | None = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Sequences and distance rows cut to the names both tables know."""
     known = distances.select(F.col("a").alias("name")).union(distances.select(F.col("b").alias("name")))
     kept = keep_members(seqs, known, "name", hot_rows)
     names = kept.select("name")
-    cut = keep_members(keep_members(distances, names, "a", hot_rows), names, "b", hot_rows)
-    return kept, cut
+    return kept, keep_both_ends(distances, names, "a", "b", hot_rows)
 
 
-def short_names(df: DataFrame, name_map: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def short_names(df: DataFrame, name_map: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``short_name`` from ``(full_name, short_name)``; unknown names get null."""
     return lookup_as(df, name_map, "name", "full_name", {"short_name": "short_name"}, "left", hot_rows)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions import titres as T
-from serospark.plans.skew import HOT_ROWS, keep_members, lookup_as, with_group_stats
+from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup_as, slice_size, with_group_stats
 
 PAIR = ["virus_1", "virus_2"]
 
@@ -86,7 +86,7 @@ def merge_reports(assay: DataFrame, truncate: bool = True) -> DataFrame:
 
 
 def collapse_to_representatives(
-    pairs: DataFrame, name_map: DataFrame, truncate: bool = True, hot_rows: int = HOT_ROWS
+    pairs: DataFrame, name_map: DataFrame, truncate: bool = True, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Second pass: both ends to their representative, mean again, self pairs dropped.
 
@@ -105,7 +105,7 @@ def titre_distance(df: DataFrame, titre: str = "titre") -> DataFrame:
 
 
 def column_basis_distance(
-    df: DataFrame, ref: str = "ref", titre: str = "titre", hot_rows: int = HOT_ROWS
+    df: DataFrame, ref: str = "ref", titre: str = "titre", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Per serum: highest ``log2(titre/10)`` minus ``log2(titre/10)``; ``<n`` reads as n, flagged.
 
@@ -158,10 +158,10 @@ def numeric_edges(df: DataFrame, a: str = "virus_1", b: str = "virus_2", titre:
 
 
 def semi_filter_pairs(
-    df: DataFrame, names: DataFrame, a: str = "virus_1", b: str = "virus_2", hot_rows: int = HOT_ROWS
+    df: DataFrame, names: DataFrame, a: str = "virus_1", b: str = "virus_2", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Rows whose both ends are in the single-column table ``names``."""
-    return keep_members(keep_members(df, names, a, hot_rows), names, b, hot_rows)
+    return keep_both_ends(df, names, a, b, hot_rows)
 
 
 def remap_pairs(
@@ -169,11 +169,11 @@ def remap_pairs(
     name_map: DataFrame,
     a: str = "virus_1",
     b: str = "virus_2",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Replace both ends by their representative; unmapped names drop the row."""
     columns = df.columns
-    out = df
+    out, hot_rows = df, slice_size(df, hot_rows)
     for end in (a, b):
         out = lookup_as(out, name_map, end, "name", {"representative": "_rep"}, hot_rows=hot_rows)
         out = out.withColumn(end, F.col("_rep")).drop("_rep")

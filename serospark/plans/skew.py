@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # A key is hot from this many rows on; one salted slice of a hot key holds about as many.
 HOT_ROWS = 2_000_000
+# Tables estimated below this size are joined plainly: none of their keys can be worth slicing.
+SALT_BYTES = 1 << 30
 # Keys counted as hot are the largest ones, never more than this: the broadcast list is bounded.
 MAX_HOT_KEYS = 1_000
 
@@ -26,20 +28,39 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; joins are estimated high, never low."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def slice_size(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> int | None:
+    """``hot_rows`` for lookups on ``df``, or None where it is too small to hold a hot key.
+
+    An explicit size other than the default is always kept.
+    """
+    if hot_rows != HOT_ROWS:
+        return hot_rows
+    return None if estimated_bytes(df) < SALT_BYTES else hot_rows
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] | str,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has one row per key.
 
     Rows of a hot key on the left are spread over several slices and the matching right row is
     repeated once per slice, so no task receives a whole hot key. Small right sides are still
-    turned into a broadcast join by the optimizer's own size check.
+    turned into a broadcast join by the optimizer's own size check. A small left side, or
+    ``hot_rows=None``, is joined plainly; adaptive execution still splits skewed partitions there.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    hot_rows = slice_size(left, hot_rows)
+    if hot_rows is None:
+        return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows))
     others = [c for c in left.columns if c not in keys] or keys
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
@@ -65,7 +86,7 @@ def lookup_as(
     right_key: str,
     values: dict[str, str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``lookup`` on differently named keys; ``values`` maps right columns to new names."""
     renamed = right.select(
@@ -74,14 +95,20 @@ def lookup_as(
     return lookup(left, renamed, left_key, how, hot_rows)
 
 
-def keep_members(df: DataFrame, members: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def keep_members(df: DataFrame, members: DataFrame, column: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rows whose ``column`` occurs in the single-column table ``members`` (made distinct here)."""
     distinct = members.select(F.col(members.columns[0]).alias(column)).distinct()
     return lookup(df, distinct, column, "inner", hot_rows).select(*df.columns)
 
 
+def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Rows whose two ends both occur in ``members``."""
+    hot_rows = slice_size(df, hot_rows)
+    return keep_members(keep_members(df, members, a, hot_rows), members, b, hot_rows)
+
+
 def with_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Add per-group aggregates to every row.
 

@@ -57,7 +57,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "state") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from it.
+
+    Unlike an RDD checkpoint the table is columnar and has true sizes, so the following joins are
+    planned on facts, and a lost executor only means reading files again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
