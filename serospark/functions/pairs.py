@@ -7,13 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from serospark.functions.constants import AMINO_ACIDS, EPITOPES, GROUPINGS, KEY_SITES
-from serospark.functions.residues import glycosylation_sites, residues
-
-
-def binary_diff(a: Column, b: Column) -> Column:
-    """1 where two arrays differ, 0 where they agree; a gap against a residue differs."""
-    return F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
+from serospark.functions.constants import EPITOPES, KEY_SITES
+from serospark.functions.residues import motif_mask
 
 
 def total(values: Column) -> Column:
@@ -21,28 +16,9 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def mutation_count(a: Column, b: Column) -> Column:
-    """Number of differing places: the Hamming distance."""
-    return F.aggregate(binary_diff(a, b), F.lit(0), lambda acc, x: acc + x)
-
-
-def group_letters(grouping: int | Sequence[str], seq: Column) -> Column:
-    """Sequence rewritten to class letters; residues in no class share one further letter."""
-    classes = GROUPINGS[grouping] if isinstance(grouping, int) else list(grouping)
-    letters = "".join(classes)
-    codes = "".join(str(i) * len(group) for i, group in enumerate(classes))
-    grouped = F.translate(seq, letters, codes)
-    return F.regexp_replace(grouped, "[^0-9]", "9")
-
-
-def group_diff(a: Column, b: Column, grouping: int | Sequence[str]) -> Column:
-    """1 where the residue classes of two sequence texts differ."""
-    return binary_diff(residues(group_letters(grouping, a)), residues(group_letters(grouping, b)))
-
-
 def glycosylation_changed(a: Column, b: Column) -> Column:
     """1 if the motif positions of two sequence texts differ."""
-    return (glycosylation_sites(a) != glycosylation_sites(b)).cast("int")
+    return (motif_mask(a) != motif_mask(b)).cast("int")
 
 
 def any_site_changed(a: Column, b: Column, sites: Sequence[int]) -> Column:
@@ -63,37 +39,6 @@ def epitope_changed(a: Column, b: Column, regions: dict[str, Sequence[int]] = EP
     return {name: any_site_changed(a, b, sites) for name, sites in regions.items()}
 
 
-def scale_column(scale: Sequence[float]) -> Column:
-    """A residue scale in alphabet order as a constant array."""
-    return F.lit([float(v) for v in scale])
-
-
-def top_k_property_diff(codes_a: Column, codes_b: Column, chars_a: Column, chars_b: Column, scale: Column, k: int = 3) -> Column:
-    """Mean of the k largest scale differences over mutated sites, of all if fewer, 0 if none.
-
-    Residues outside the scale count as 0. Whether a site is mutated is decided on the letters, so
-    two different unknown letters are a mutation with difference 0.
-    """
-    def value(code: Column) -> Column:
-        return F.when(code < 0, F.lit(0.0)).otherwise(F.element_at(scale, code + 1))
-
-    diffs = F.zip_with(codes_a, codes_b, lambda x, y: F.abs(value(x) - value(y)))
-    marked = F.zip_with(diffs, binary_diff(chars_a, chars_b), lambda d, m: F.when(m == 1, d))
-    top = F.slice(F.sort_array(F.filter(marked, lambda d: d.isNotNull()), asc=False), 1, k)
-    return F.when(F.size(top) == 0, F.lit(0.0)).otherwise(total(top) / F.size(top))
-
-
-def table_lookup(codes_a: Column, codes_b: Column, table: Column, missing: Column | None = None) -> Column:
-    """Per site the entry of a 400-cell table at ``20 * code_a + code_b``; gaps give ``missing`` (0)."""
-    absent = F.lit(0.0) if missing is None else missing
-    n = len(AMINO_ACIDS)
-    return F.zip_with(
-        codes_a,
-        codes_b,
-        lambda x, y: F.when((x < 0) | (y < 0), absent).otherwise(F.element_at(table, x * n + y + 1)),
-    )
-
-
 def euclidean(x: Column, y: Column) -> Column:
     """L2 distance of two coordinate arrays."""
     return F.sqrt(total(F.zip_with(x, y, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))))

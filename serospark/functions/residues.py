@@ -41,14 +41,16 @@ def is_clean(seq: Column) -> Column:
     return ~seq.rlike("[-X]")
 
 
-def glycosylation_sites(seq: Column) -> Column:
-    """1-based starts of ``N``, not ``P``, then ``S`` or ``T``; overlapping motifs count."""
-    def starts(text: Column) -> Column:
-        places = F.when(F.length(text) > 2, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(
-            F.array().cast("array<int>"))
-        return F.filter(places, lambda i: F.substring(text, i, F.lit(3)).rlike("^N[^P][ST]$"))
+def motif_mask(seq: Column) -> Column:
+    """``1`` where ``N``, not ``P``, then ``S`` or ``T`` starts, else ``0``; overlaps count."""
+    return F.regexp_replace(F.regexp_replace(seq, "N(?=[^P][ST])", "1"), "[^1]", "0")
+
 
-    return let(seq, starts)
+def glycosylation_sites(seq: Column) -> Column:
+    """1-based starts of the motif."""
+    return F.transform(
+        F.filter(F.transform(F.split(motif_mask(seq), ""), lambda c, i: F.when(c == "1", i + 1)), lambda i: i.isNotNull()),
+        lambda i: i.cast("int"))
 
 
 def year_of(name: Column) -> Column:

@@ -117,20 +117,23 @@ def difference_cells(props: DataFrame) -> DataFrame:
     return props.select("prop", "ord", F.transform(F.sequence(F.lit(0), F.lit(N * N - 1)), cell).alias("cells"))
 
 
-def table_set(mats: DataFrame, order: str = "ord") -> Column:
-    """All matrices as one constant ``ARRAY<ARRAY<DOUBLE>>``, ordered; more than ``MAX_TABLES`` raise."""
-    bounded = F.when(F.count(F.lit(1)) > MAX_TABLES, F.raise_error(F.lit("too many property tables")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, "cells"))), lambda s: s["cells"])
-    return mats.select(F.coalesce(bounded.cast("array<array<double>>"), ordered)).scalar()
+def table_set(mats: DataFrame, order: str = "ord") -> np.ndarray:
+    """All matrices as one array (tables x 400), ordered; more than ``MAX_TABLES`` raise."""
+    rows = mats.select(order, "cells").orderBy(order).limit(MAX_TABLES + 1).collect()
+    if len(rows) > MAX_TABLES:
+        raise ValueError(f"more than {MAX_TABLES} property tables")
+    return np.array([r["cells"] for r in rows], dtype=float).reshape(len(rows), N * N)
 
 
-def weighted_table(mats: DataFrame, weights: DataFrame) -> Column:
-    """One constant 400-cell array: the sum of weight x matrix, weights joined by property name."""
+def weighted_table(mats: DataFrame, weights: DataFrame) -> np.ndarray:
+    """One 400-cell table: the sum of weight x matrix, weights joined by property name."""
     chosen = mats.join(weights.select(F.col("prop_name").alias("prop"), "weight"), "prop")
     cells = chosen.select("weight", F.posexplode("cells").alias("_i", "_v"))
     summed = cells.groupBy("_i").agg(F.sum(F.col("weight") * F.col("_v")).alias("_v"))
-    packed = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"])
-    return summed.select(packed).scalar()
+    table = np.zeros(N * N)
+    for row in summed.collect():  # at most 400 rows
+        table[row["_i"]] = row["_v"]
+    return table
 
 
 def drop_correlated(props: DataFrame, threshold: float, block: int = 128) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F
 
 from serospark.functions import pairs as P
 from serospark.functions import residues as R
-from serospark.functions.constants import EPITOPES, KEY_SITES, SCALES
+from serospark.functions import sites as X
+from serospark.functions.constants import AMINO_ACIDS, EPITOPES, KEY_SITES, SCALES
 from serospark.functions.hashing import fold_of, unit_hash
 from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup, lookup_as, slice_size
 
@@ -98,14 +100,14 @@ def encode_pairs(df: DataFrame) -> DataFrame:
 
 
 def difference_features(df: DataFrame) -> DataFrame:
-    """Add ``diff`` (0/1 per site) and ``n_mutations``."""
-    diff = P.binary_diff(R.residues(F.col("seq_a")), R.residues(F.col("seq_b")))
-    return df.withColumn("diff", diff).withColumn("n_mutations", F.aggregate("diff", F.lit(0), lambda acc, x: acc + x))
+    """Add ``diff`` (0/1 per site) and ``n_mutations``, the Hamming distance."""
+    out = df.withColumn("diff", X.differences(F.col("seq_a"), F.col("seq_b")))
+    return out.withColumn("n_mutations", F.aggregate("diff", F.lit(0), lambda acc, x: acc + x))
 
 
-def grouping_features(df: DataFrame, grouping: int | Sequence[str]) -> DataFrame:
-    """Add ``group_diff``: 0/1 per site, 1 where the residue classes differ."""
-    return df.withColumn("group_diff", P.group_diff(F.col("seq_a"), F.col("seq_b"), grouping))
+def grouping_features(df: DataFrame, grouping: int | Sequence[str], name: str = "group_diff") -> DataFrame:
+    """Add 0/1 per site, 1 where the residue classes differ."""
+    return df.withColumn(name, X.class_differences(F.col("seq_a"), F.col("seq_b"), grouping))
 
 
 def mutation_features(
@@ -122,11 +124,8 @@ def mutation_features(
     out = out.withColumn("key_site_changed", P.key_site_changed(a, b, key_sites))
     for name, flag in P.epitope_changed(a, b, regions).items():
         out = out.withColumn(f"epitope_{name}_changed", flag)
-    out = encode_pairs(out)
-    for name, scale in scales.items():
-        out = out.withColumn(f"{name}_diff", P.top_k_property_diff(
-            F.col("codes_a"), F.col("codes_b"), R.residues(a), R.residues(b), P.scale_column(scale), k))
-    return out.drop("codes_a", "codes_b")
+    out = out.withColumn("_gaps", X.top_scale_gaps(a, b, scales, k))
+    return out.withColumns({f"{name}_diff": F.col(f"_gaps.{name}") for name in scales}).drop("_gaps")
 
 
 SUMMARY_FEATURES = (
@@ -136,34 +135,27 @@ SUMMARY_FEATURES = (
 )
 
 
-def table_features(df: DataFrame, table: Column, name: str, missing: Column | None = None) -> DataFrame:
-    """Add array ``name``: per site the entry of one 400-cell table; gaps give 0 or ``missing``.
-
-    ``table`` is a constant array: a literal or a one-row subquery.
-    """
-    held = df.withColumn("_table", table)
-    return held.withColumn(name, P.table_lookup(F.col("codes_a"), F.col("codes_b"), F.col("_table"), missing)).drop("_table")
+def table_features(df: DataFrame, cells: Sequence[float], name: str, unknown_is_null: bool = False) -> DataFrame:
+    """Add array ``name``: per site the cell of one 400-cell table; gaps give 0, or null if asked."""
+    return df.withColumn(name, X.table_values(F.col("seq_a"), F.col("seq_b"), cells, unknown_is_null))
 
 
-def tensor_features(df: DataFrame, tables: Column, name: str) -> DataFrame:
-    """Add ``ARRAY<ARRAY<DOUBLE>>``: one row of site values per table; ``tables`` holds 400-cell arrays."""
-    held = df.withColumn("_tables", tables)
-    values = F.transform("_tables", lambda t: P.table_lookup(F.col("codes_a"), F.col("codes_b"), t))
-    return held.withColumn(name, values).drop("_tables")
+def tensor_features(df: DataFrame, tables: np.ndarray, name: str) -> DataFrame:
+    """Add ``ARRAY<ARRAY<DOUBLE>>``: one array of site values per 400-cell table."""
+    return df.withColumn(name, X.tensor_values(F.col("seq_a"), F.col("seq_b"), tables))
 
 
-def combined_features(df: DataFrame, scalar_table: Column, matrix_table: Column) -> DataFrame:
+def combined_features(df: DataFrame, scalar_cells: Sequence[float], matrix_cells: Sequence[float]) -> DataFrame:
     """Add ``x0`` (differences), ``x1`` (weighted scalars), ``x2`` (weighted matrices), ``features``.
 
     Both tables are weighted sums over their properties, collapsed to 400 cells beforehand, so a
-    pair costs three passes over its sites however many properties there are. Gaps give 0 in ``x1``
-    and ``x2``.
+    pair costs three gathers however many properties there are. Gaps give 0 in ``x1`` and ``x2``;
+    in ``x0`` all gaps and unknown letters count as one letter.
     """
-    out = encode_pairs(df)
-    out = out.withColumn("x0", F.transform(P.binary_diff(F.col("codes_a"), F.col("codes_b")), lambda d: d.cast("double")))
-    out = table_features(out, scalar_table, "x1")
-    out = table_features(out, matrix_table, "x2")
-    return out.withColumn("features", F.concat("x0", "x1", "x2")).drop("codes_a", "codes_b")
+    out = df.withColumn("x0", X.class_differences(F.col("seq_a"), F.col("seq_b"), list(AMINO_ACIDS)).cast("array<double>"))
+    out = table_features(out, scalar_cells, "x1")
+    out = table_features(out, matrix_cells, "x2")
+    return out.withColumn("features", F.concat("x0", "x1", "x2"))
 
 
 def pair_distances(pairs: DataFrame, points: DataFrame, name: str = "dist", hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -109,7 +109,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector with the ones 1, 2, 3, 5 and 8 places later."""
     vec = table(spark, sf_dir, "embeddings").select("vec_id")
-    later = vec.select("vec_id", (F.col("vec_id") + F.explode(F.lit([1, 2, 3, 5, 8]))).alias("other"))
+    steps = vec.select("vec_id", F.explode(F.lit([1, 2, 3, 5, 8])).alias("step"))
+    later = steps.select("vec_id", (F.col("vec_id") + F.col("step")).alias("other"))
     known = later.join(vec.withColumnRenamed("vec_id", "other"), "other", "left_semi")
     return known.select(
         F.concat(F.lit("V/"), F.col("vec_id").cast("string")).alias("a"),

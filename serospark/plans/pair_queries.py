@@ -78,14 +78,12 @@ def meetings(spark, sf_dir) -> DataFrame:
 
 
 @query("property_diff", f"""WITH {O.PAIRS}, {O.SITES}, {DIFF_SQL}
-SELECT a, b, prop, round(sum(d), 6) AS total FROM sites JOIN dif USING (x, y) GROUP BY a, b, prop""")
+SELECT a, b, prop, round(coalesce(sum(d), 0), 6) AS total FROM sites CROSS JOIN (SELECT DISTINCT prop FROM scales) LEFT JOIN dif USING (prop, x, y) GROUP BY a, b, prop""")
 def property_diff(spark, sf_dir) -> DataFrame:
     props = N.difference_cells(standard_scales(spark))
-    tensor = PO.tensor_features(PO.encode_pairs(pairs(spark, sf_dir)), N.table_set(props), "x")
-    # A pair whose sites are all gaps on one side has no rows in the SQL form.
-    faced = tensor.filter(F.exists(F.arrays_zip(F.col("codes_a").alias("x"), F.col("codes_b").alias("y")), lambda c: (c["x"] >= 0) & (c["y"] >= 0)))
+    tensor = PO.tensor_features(pairs(spark, sf_dir), N.table_set(props), "x")
     names = F.lit(list(SCALES))
-    return faced.select("a", "b", F.posexplode("x").alias("p", "v")).select("a", "b", F.element_at(names, F.col("p") + 1).alias("prop"), array_sum("v").alias("total"))
+    return tensor.select("a", "b", F.posexplode("x").alias("p", "v")).select("a", "b", F.element_at(names, F.col("p") + 1).alias("prop"), array_sum("v").alias("total"))
 
 
 @query("weighted_property_diff", f"""WITH {O.PAIRS}, {O.SITES}, {DIFF_SQL}, {WEIGHT_SQL},
@@ -93,7 +91,7 @@ wd AS (SELECT x, y, sum(w * d) AS d FROM dif JOIN weights USING (prop) GROUP BY
 SELECT a, b, round(coalesce(sum(d), 0), 6) AS total, round(coalesce(sum(site * d), 0), 6) AS moment FROM sites LEFT JOIN wd USING (x, y) GROUP BY a, b""")
 def weighted_property_diff(spark, sf_dir) -> DataFrame:
     table = N.weighted_table(N.difference_cells(standard_scales(spark)), scalar_weights(spark))
-    out = PO.table_features(PO.encode_pairs(pairs(spark, sf_dir)), table, "x1")
+    out = PO.table_features(pairs(spark, sf_dir), table, "x1")
     return out.select("a", "b", array_sum("x1").alias("total"), array_sum(F.transform("x1", lambda v, i: v * i)).alias("moment"))
 
 
@@ -101,7 +99,7 @@ def weighted_property_diff(spark, sf_dir) -> DataFrame:
 SELECT a, b, round(coalesce(sum(n / s), 0), 6) AS total FROM sites LEFT JOIN meet USING (x, y), span GROUP BY a, b""")
 def matrix_lookup(spark, sf_dir) -> DataFrame:
     table = N.table_set(N.range_scale_cells(meetings(spark, sf_dir)))
-    out = PO.table_features(PO.encode_pairs(pairs(spark, sf_dir)), table[0], "x2")
+    out = PO.table_features(pairs(spark, sf_dir), table[0], "x2")
     return out.select("a", "b", array_sum("x2").alias("total"))
 
 
@@ -119,7 +117,7 @@ FROM sites LEFT JOIN (SELECT x, y, d FROM dif WHERE prop = 'volume') USING (x, y
 def substitution_features(spark, sf_dir) -> DataFrame:
     """Per-site distance with null for unknown letters."""
     volume = N.difference_cells(standard_scales(spark).filter("prop = 'volume'"))
-    out = PO.table_features(PO.encode_pairs(pairs(spark, sf_dir)), N.table_set(volume)[0], "x", F.lit(None).cast("double"))
+    out = PO.table_features(pairs(spark, sf_dir), N.table_set(volume)[0], "x", unknown_is_null=True)
     known = F.filter("x", lambda v: v.isNotNull())
     return out.select("a", "b", F.size(known).cast("bigint").alias("n_known"), (F.size("x") - F.size(known)).cast("bigint").alias("n_unknown"),
                       F.when(F.size(known) > 0, array_sum(known)).alias("total"))
@@ -165,8 +163,9 @@ def _class_sql(grouping: int, col: str) -> str:
     f"count(*) FILTER (WHERE {_class_sql(g, 'x')} <> {_class_sql(g, 'y')}) AS g{g}" for g in GROUPINGS) + " FROM sites GROUP BY a, b")
 def group_diff(spark, sf_dir) -> DataFrame:
     out = pairs(spark, sf_dir)
-    return out.select("a", "b", *[
-        F.aggregate(P.group_diff(F.col("seq_a"), F.col("seq_b"), g), F.lit(0).cast("bigint"), lambda s, x: s + x).alias(f"g{g}") for g in GROUPINGS])
+    for g in GROUPINGS:
+        out = PO.grouping_features(out, g, f"d{g}")
+    return out.select("a", "b", *[F.aggregate(f"d{g}", F.lit(0).cast("bigint"), lambda s, x: s + x).alias(f"g{g}") for g in GROUPINGS])
 
 
 @query("combined_features", f"""WITH {O.PAIRS}, {O.SITES}, {DIFF_SQL}, {WEIGHT_SQL},
@@ -189,7 +188,7 @@ def top_n_slice(spark, sf_dir) -> DataFrame:
     """The two heaviest properties only, taken before any pair is touched."""
     best = N.top_n(scalar_weights(spark), 2)
     table = N.weighted_table(N.difference_cells(standard_scales(spark)), best)
-    out = PO.table_features(PO.encode_pairs(pairs(spark, sf_dir)), table, "x")
+    out = PO.table_features(pairs(spark, sf_dir), table, "x")
     return out.select("a", "b", array_sum("x").alias("total"))
 
 
