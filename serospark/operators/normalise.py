@@ -190,6 +190,19 @@ def invert_target_scaler(df: DataFrame, scaler: dict[str, float], column: str =
     return df.withColumn(column, F.col(column) * scaler["std"] + scaler["mean"])
 
 
+def fit_standard_scaler(df: DataFrame, column: str) -> dict[str, list[float]]:
+    """Mean and population standard deviation of every place of an array column; constants get 1."""
+    cells = df.select(F.posexplode(column).alias("site", "value"))
+    rows = cells.groupBy("site").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).orderBy("site").collect()
+    return {"mean": [r["mean"] for r in rows], "std": [r["std"] or 1.0 for r in rows]}
+
+
+def apply_standard_scaler(df: DataFrame, scaler: dict[str, list[float]], column: str) -> DataFrame:
+    mean, std = F.lit(scaler["mean"]), F.lit(scaler["std"])
+    scaled = F.transform(F.col(column), lambda v, i: (v - F.element_at(mean, i + 1)) / F.element_at(std, i + 1))
+    return df.withColumn(column, scaled)
+
+
 def site_means(df: DataFrame, column: str) -> DataFrame:
     """``(site, mean)`` over the non-null entries of an array column."""
     cells = df.select(F.posexplode(column).alias("site", "value"))
