@@ -72,8 +72,7 @@ def tensor_values(a: Column, b: Column, tables: np.ndarray) -> Column:
 
     @F.arrow_udf("array<array<double>>")
     def values(a: pa.Array, b: pa.Array) -> pa.Array:
-        offsets, x, y = _aligned(a, b)
-        at = _CODES[x] * (N + 1) + _CODES[y]
+        offsets, at = cell_places(a, b)
         lengths = np.diff(offsets)
         inner = np.concatenate([[0], np.cumsum(np.repeat(lengths, len(padded)))])
         flat = np.empty(inner[-1], dtype=np.float64)
@@ -139,3 +138,28 @@ def top_scale_gaps(a: Column, b: Column, scales: dict[str, Sequence[float]], k:
         return pa.StructArray.from_arrays(out, names=list(named))
 
     return values(a, b)
+
+
+def cell_places(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, and for every site its entry in a padded table."""
+    offsets, x, y = _aligned(a, b)
+    return offsets, _CODES[x] * (N + 1) + _CODES[y]
+
+
+def site_table_values(a: Column, b: Column, blocks: list[np.ndarray], sites: list[np.ndarray]) -> Column:
+    """``ARRAY<DOUBLE>``: for each block the values of its sites, from one padded table per site.
+
+    ``blocks[i]`` is (sites x padded cells); ``sites[i]`` lists the sites the block keeps. All
+    sequences have the length of the tables.
+    """
+    width = len(blocks[0])
+
+    @F.arrow_udf("array<double>")
+    def values(a: pa.Array, b: pa.Array) -> pa.Array:
+        offsets, at = cell_places(a, b)
+        at = at.reshape(len(offsets) - 1, width)
+        parts = [table[kept, at[:, kept]] for table, kept in zip(blocks, sites)]
+        flat = np.concatenate(parts, axis=1)
+        return _lists(np.arange(len(flat) + 1) * flat.shape[1], pa.array(flat.ravel()))
+
+    return values(a, b)

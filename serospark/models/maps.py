@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions.hashing import unit_hash
 from serospark.operators.titres import column_basis_distance
-from serospark.plans.skew import HOT_ROWS, lookup, slice_size
+from serospark.plans.skew import HOT_ROWS, lookup, lookup_as, slice_size
 from serospark.session import cut_lineage
 
+# Coordinates (nodes x restarts x dimensions) that may be shared with every task: 32 MB of doubles.
+MAX_SHARED = 4_000_000
+
 
 def _axes(dims: int) -> list[str]:
     return [f"x{i}" for i in range(dims)]
@@ -42,22 +48,78 @@ def stress(edges: DataFrame, places: DataFrame, dims: int = 2, hot_rows: int | N
 
 
 def embed(
-    edges: DataFrame, dims: int = 2, restarts: int = 1, rounds: int = 50, seed: int = 42, keep_every: int = 5, hot_rows: int | None = HOT_ROWS
+    edges: DataFrame,
+    dims: int = 2,
+    restarts: int = 1,
+    rounds: int = 50,
+    seed: int = 42,
+    keep_every: int = 5,
+    hot_rows: int | None = HOT_ROWS,
+    max_shared: int = MAX_SHARED,
 ) -> DataFrame:
     """``(node, restart, x0, ...)`` minimising the stress of ``edges`` ``(a, b, dist, censored)``.
 
     Every round moves each node by its mean residual force over twice its degree. That step is the
     minimum of a quadratic bound on the stress, so no round makes the stress worse. All restarts run
-    in the same job; forces combine on the map side, so a serum measured against everything is one
-    partial sum per task. Places are written out every ``keep_every`` rounds.
+    in the same job. Up to ``max_shared`` coordinates are shared with every task, and a round is one
+    pass over the edges; more are joined to the edges instead.
     """
-    axes = _axes(dims)
     edges = cut_lineage(edges.select("a", "b", F.col("dist").cast("double").alias("dist"), "censored"), "edges")
     span = edges.select(F.max("dist")).first()[0] or 1.0
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
+    nodes = cut_lineage(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "nodes")
     starts = nodes.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
     places = starts.select("node", "degree", "restart", *[
-        ((unit_hash(F.col("node"), F.col("restart"), F.lit(i), seed=seed) - 0.5) * span).alias(x) for i, x in enumerate(axes)])
+        ((unit_hash(F.col("node"), F.col("restart"), F.lit(i), seed=seed) - 0.5) * span).alias(x) for i, x in enumerate(_axes(dims))])
+    if nodes.count() * restarts * dims <= max_shared:
+        return _embed_shared(edges, places, dims, restarts, rounds)
+    return _embed_joined(edges, places, dims, rounds, keep_every, hot_rows)
+
+
+def _embed_shared(edges: DataFrame, places: DataFrame, dims: int, restarts: int, rounds: int) -> DataFrame:
+    """Rounds over edges with all coordinates at hand; tasks return one partial force per node."""
+    spark = edges.sparkSession
+    rows = places.orderBy("node", "restart").collect()  # bounded by max_shared
+    names = [r["node"] for r in rows[::restarts]]
+    degree = np.array([r["degree"] for r in rows[::restarts]], dtype=float)
+    at = np.array([[r[x] for x in _axes(dims)] for r in rows]).reshape(len(names), restarts, dims)
+    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, number int")
+    coded = lookup_as(lookup_as(edges, numbers, "a", "node", {"number": "i"}), numbers, "b", "node", {"number": "j"})
+    coded = cut_lineage(coded.select("i", "j", "dist", "censored"), "edges")
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(at)
+
+        def forces(batches):
+            x = shared.value
+            total = np.zeros_like(x)
+            for batch in batches:
+                i, j, dist, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "dist", "censored"))
+                step = x[j] - x[i]
+                d = np.sqrt((step * step).sum(axis=2))
+                gap = d - dist[:, None]
+                gap = np.where(bound[:, None] & (gap > 0), 0.0, gap)
+                pull = np.divide(gap, d, out=np.zeros_like(d), where=d > 1e-12)[:, :, None] * step
+                np.add.at(total, i, pull)
+                np.subtract.at(total, j, pull)
+            touched = np.flatnonzero(np.abs(total).sum(axis=(1, 2)))
+            flat = total[touched].reshape(len(touched), -1)
+            yield pa.RecordBatch.from_pydict({"number": pa.array(touched, pa.int32()), "force": pa.array(list(flat), pa.list_(pa.float64()))})
+
+        def added(pdf):
+            return pd.DataFrame({"number": [pdf["number"].iloc[0]], "force": [np.sum(np.stack(pdf["force"].to_list()), axis=0)]})
+
+        parts = coded.mapInArrow(forces, "number int, force array<double>")
+        for row in parts.groupBy("number").applyInPandas(added, "number int, force array<double>").collect():
+            at[row["number"]] += np.asarray(row["force"]).reshape(restarts, dims) / (2 * degree[row["number"]])
+        shared.unpersist()
+    done = [(n, r, *map(float, at[i, r])) for i, n in enumerate(names) for r in range(restarts)]
+    return spark.createDataFrame(done, "node string, restart int, " + ", ".join(f"{x} double" for x in _axes(dims)))
+
+
+def _embed_joined(edges: DataFrame, places: DataFrame, dims: int, rounds: int, keep_every: int, hot_rows: int | None) -> DataFrame:
+    """Rounds as joins; forces combine on the map side, so a serum measured against everything is
+    one partial sum per task. Places are written out every ``keep_every`` rounds."""
+    axes = _axes(dims)
     places = cut_lineage(places, "places")
     for done in range(1, rounds + 1):
         moved = _gaps(_with_ends(edges, places, axes, hot_rows), axes)

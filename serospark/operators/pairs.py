@@ -7,9 +7,10 @@ multiplied out against each other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serospark.functions import pairs as P
@@ -145,6 +146,31 @@ def tensor_features(df: DataFrame, tables: np.ndarray, name: str) -> DataFrame:
     return df.withColumn(name, X.tensor_values(F.col("seq_a"), F.col("seq_b"), tables))
 
 
+def site_cell_counts(df: DataFrame, width: int) -> np.ndarray:
+    """(sites x padded cells): how many pairs face which two residues at a site.
+
+    Every per-site statistic of any matrix (means, least-squares fits) follows from these counts,
+    so a search over matrices reads the pairs once for all of them. Tasks count on their own rows
+    first; the result has at most sites x 441 numbers however many pairs there are.
+    """
+    cells = (X.N + 1) ** 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * cells, dtype=np.int64)
+        for batch in batches:
+            _, at = X.cell_places(batch.column(0), batch.column(1))
+            place = np.tile(np.arange(width), batch.num_rows)
+            total += np.bincount(place * cells + at, minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
+
+    parts = df.select("seq_a", "seq_b").mapInArrow(count, "place bigint, n bigint")
+    out = np.zeros(width * cells)
+    for row in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[row["place"]] = row["n"]
+    return out.reshape(width, cells)
+
+
 def combined_features(df: DataFrame, scalar_cells: Sequence[float], matrix_cells: Sequence[float]) -> DataFrame:
     """Add ``x0`` (differences), ``x1`` (weighted scalars), ``x2`` (weighted matrices), ``features``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions import titres as T
 from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup_as, slice_size, with_group_stats
+from serospark.sources.tables import quoted
 
 PAIR = ["virus_1", "virus_2"]
 
@@ -149,7 +150,7 @@ def to_matrix(
     single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate matrix cell"))).otherwise(F.max(titre))
     cells = df.groupBy(row, column).agg(single.cast("string").alias("_titre"))
     wide = cells.groupBy(row).pivot(column, list(columns)).agg(F.max("_titre"))
-    return wide.na.fill("*", list(columns))
+    return wide.select(row, *[F.coalesce(quoted(c), F.lit("*")).alias(c) for c in columns])
 
 
 def numeric_edges(df: DataFrame, a: str = "virus_1", b: str = "virus_2", titre: str = "titre") -> DataFrame:

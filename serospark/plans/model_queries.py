@@ -27,7 +27,7 @@ def _stored_pairs(spark, sf_dir) -> DataFrame:
 
 def _counted(spark, sf_dir) -> DataFrame:
     out = PO.difference_features(pairs(spark, sf_dir))
-    return out.select("a", "b", "dist", F.array(F.col("n_mutations").cast("double")).alias("features"))
+    return cut_lineage(out.select("a", "b", "dist", F.array(F.col("n_mutations").cast("double")).alias("features")), "counts")
 
 
 @query("ols_mutation_count", f"WITH {COUNTS}, f AS (SELECT regr_slope(y, x) AS k, regr_intercept(y, x) AS c FROM d) SELECT a, b, round(k * x + c, 5) AS prediction FROM d, f")
@@ -96,7 +96,7 @@ def boosted_grid(spark, sf_dir) -> DataFrame:
 def matrix_search(spark, sf_dir) -> DataFrame:
     """All three stages over three matrices, then the recorded second-auxiliary rows."""
     mats = N.difference_cells(standard_scales(spark).filter("prop <> 'charge'"))
-    run = search.MatrixSearch(_stored_pairs(spark, sf_dir), mats, scratch_path(spark, "search"), trees=2, depth=3, bins=8)
+    run = search.MatrixSearch(_stored_pairs(spark, sf_dir), mats, scratch_path(spark, "search"), A.WINDOW, trees=2, depth=3, bins=8)
     run.run(keep=1)
     return run.ranked("aux_1", 10)
 
@@ -105,8 +105,8 @@ def matrix_search(spark, sf_dir) -> DataFrame:
 def site_importance(spark, sf_dir) -> DataFrame:
     mats = N.difference_cells(standard_scales(spark))
     stored = _stored_pairs(spark, sf_dir)
-    run = search.MatrixSearch(stored, mats, scratch_path(spark, "search"), trees=3, depth=4, bins=8)
-    _, _, scores = run.final_model(["hydrophobicity", "volume", "polarity"], stored.filter("NOT is_test"), stored.filter("is_test"), A.WINDOW, top_sites=20)
+    run = search.MatrixSearch(stored, mats, scratch_path(spark, "search"), A.WINDOW, trees=3, depth=4, bins=8)
+    _, _, scores = run.final_model(["hydrophobicity", "volume", "polarity"], stored.filter("NOT is_test"), stored.filter("is_test"), top_sites=20)
     return scores
 
 
