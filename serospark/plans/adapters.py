@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from serospark.plans.skew import spread
+
 WINDOW = 64
 
 
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def busy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table whose rows cost more than their transport, on all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+
+
 def titre_text() -> Column:
     """Every titre form: ``*``, two bounds, powers of two times ten, a few illegal texts."""
     level = F.floor(F.col("l_tax") * 100 + 0.5).cast("int")
@@ -28,7 +38,7 @@ def titre_text() -> Column:
 
 def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense assay: suppliers against fifty sera, several rows per pair, both directions."""
-    return table(spark, sf_dir, "lineitem").select(
+    return busy_table(spark, sf_dir, "lineitem", *LINE_COLUMNS).select(
         F.concat(F.lit("A/"), F.col("l_suppkey").cast("string")).alias("test"),
         F.concat(F.lit("A/"), F.col("l_quantity").cast("int").cast("string")).alias("ref"),
         titre_text().alias("titre"),
@@ -40,7 +50,7 @@ def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse assay: orders against parts."""
-    return table(spark, sf_dir, "lineitem").select(
+    return busy_table(spark, sf_dir, "lineitem", *LINE_COLUMNS).select(
         F.concat(F.lit("T/"), F.col("l_orderkey").cast("string")).alias("test"),
         F.concat(F.lit("R/"), F.col("l_partkey").cast("string")).alias("ref"),
         titre_text().alias("titre"),
@@ -50,7 +60,7 @@ def sparse_assay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report month tests its own strains, so the graph falls apart into components."""
     month = F.date_format("l_shipdate", "yyyy-MM")
-    return table(spark, sf_dir, "lineitem").select(
+    return busy_table(spark, sf_dir, "lineitem", *LINE_COLUMNS).select(
         F.concat_ws("/", F.lit("T"), month, F.col("l_suppkey").cast("string")).alias("test"),
         F.concat_ws("/", F.lit("R"), month, F.col("l_quantity").cast("int").cast("string")).alias("ref"),
         titre_text().alias("titre"),
@@ -67,7 +77,7 @@ def _document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     residues = F.translate(letters, "BJOUZ", "-----")
     # One regular-expression pass cuts a text of any length; repeated substrings would be quadratic.
-    return table(spark, sf_dir, "documents").select(
+    return busy_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text").select(
         "doc_id", "lang", "source", F.regexp_extract_all(residues, F.lit(f".{{1,{WINDOW}}}"), F.lit(0)).alias("windows"))
 
 

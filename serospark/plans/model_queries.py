@@ -46,7 +46,7 @@ def ridge_mutation_count(spark, sf_dir) -> DataFrame:
 
 @query("ols_groups")
 def ols_groups(spark, sf_dir) -> DataFrame:
-    return linear.ols_by_grouping(_stored_pairs(spark, sf_dir), GROUPINGS)
+    return linear.ols_by_grouping(_stored_pairs(spark, sf_dir), A.WINDOW, GROUPINGS)
 
 
 @query("ridge_coordinates")
@@ -119,8 +119,8 @@ def fit_mlp(spark, sf_dir) -> DataFrame:
     weights = spark.createDataFrame([(k, 0.25) for k in SCALES], "prop_name string, weight double")
     scalar = N.weighted_table(cells, weights)
     matrix = N.table_set(N.range_scale_cells(cells.filter("prop = 'polarity'")))[0]
-    data = cut_lineage(PO.combined_features(_stored_pairs(spark, sf_dir), scalar, matrix).select("a", "b", "dist", "is_test", "features"), "features")
-    fitted = network.fit_mlp(data.filter("NOT is_test"), 3 * A.WINDOW, SMALL, row_key=["a", "b"])
+    data = _stored_pairs(spark, sf_dir)
+    fitted = network.fit_mlp(data.filter("NOT is_test"), network.CombinedInput(scalar, matrix, A.WINDOW), SMALL, row_key=["a", "b"])
     return M.regression_metrics(fitted.predict(data.filter("is_test")))
 
 

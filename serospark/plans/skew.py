@@ -107,6 +107,12 @@ def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, hot_rows:
     return keep_members(keep_members(df, members, a, hot_rows), members, b, hot_rows)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that has fewer splits than the cluster has cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_group_stats(
     df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
