@@ -83,7 +83,8 @@ def _document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned sequences: every 64-letter stretch of every document, the last one padded with gaps."""
-    cut = _document_windows(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode("windows").alias("w", "seq"))
+    # Outer, so that the optimizer does not cut every text twice to test for emptiness.
+    cut = _document_windows(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode_outer("windows").alias("w", "seq")).filter("seq IS NOT NULL")
     return cut.select(
         _strain(F.col("doc_id"), F.col("w")).alias("name"),
         F.rpad("seq", WINDOW, "-").alias("seq"),
@@ -97,9 +98,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A distance for each stretch and the one after it: an eighth of their edit distance."""
     n = F.size("windows")
-    docs = _document_windows(spark, sf_dir).filter(n > 1)
-    zipped = F.arrays_zip(F.slice("windows", 1, n - 1).alias("x"), F.slice("windows", 2, n - 1).alias("y"))
-    cut = docs.select("doc_id", "lang", F.posexplode(zipped).alias("w", "c"))
+    docs = _document_windows(spark, sf_dir)
+    behind = F.greatest(n - 1, F.lit(0))
+    zipped = F.arrays_zip(F.slice("windows", F.lit(1), behind).alias("x"), F.slice("windows", F.lit(2), behind).alias("y"))
+    cut = docs.select("doc_id", "lang", F.posexplode_outer(zipped).alias("w", "c")).filter("c IS NOT NULL")
     return cut.select(
         _strain(F.col("doc_id"), F.col("w")).alias("a"),
         _strain(F.col("doc_id"), F.col("w") + 1).alias("b"),
