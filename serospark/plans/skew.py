@@ -62,13 +62,14 @@ def lookup(
     if hot_rows is None:
         return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows))
-    others = [c for c in left.columns if c not in keys] or keys
+    # Equal rows of one key still spread, by the task they come from; a retried task repeats its slices.
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     # Null keys match nothing, so an outer join may put them in any slice.
     slices = F.when(no_key, F.lit(MAX_HOT_KEYS)).otherwise(F.coalesce(F.col("_slices"), F.lit(1)))
     spread = (
         left.join(hot, keys, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(*others), slices.cast("long")).cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), slices.cast("long")).cast("int"))
         .drop("_slices")
     )
     copies = (
