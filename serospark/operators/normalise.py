@@ -205,7 +205,8 @@ def apply_standard_scaler(df: DataFrame, scaler: dict[str, list[float]], column:
 
 def site_means(df: DataFrame, column: str) -> DataFrame:
     """``(site, mean)`` over the non-null entries of an array column."""
-    cells = df.select(F.posexplode(column).alias("site", "value"))
+    # Outer explodes keep an array that is costly to make from being made a second time as a test.
+    cells = df.select(F.posexplode_outer(column).alias("site", "value")).filter("site IS NOT NULL")
     return cells.groupBy("site").agg(F.avg("value").alias("mean"))
 
 
@@ -232,7 +233,7 @@ def residual_fit(df: DataFrame, main: str, aux: str) -> DataFrame:
     A site where ``main`` is constant has slope 0 and the mean as intercept.
     """
     zipped = F.arrays_zip(F.col(main).alias("x"), F.col(aux).alias("y"))
-    cells = df.select(F.posexplode(zipped).alias("site", "c")).select("site", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    cells = df.select(F.posexplode_outer(zipped).alias("site", "c")).filter("site IS NOT NULL").select("site", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     fit = cells.groupBy("site").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.avg("y").alias("_mean"))
     flat = F.col("slope").isNull() | F.isnan("slope")
     return fit.select(

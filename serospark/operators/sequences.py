@@ -101,7 +101,7 @@ def short_names(df: DataFrame, name_map: DataFrame, hot_rows: int | None = HOT_R
 
 def site_residues(df: DataFrame, seq: str = "seq") -> DataFrame:
     """``(site, residue, n)`` over all sequences, gaps left out; sites are zero-based."""
-    cells = df.select(F.posexplode(R.residues(F.col(seq))).alias("site", "residue"))
+    cells = df.select(F.posexplode_outer(R.residues(F.col(seq))).alias("site", "residue"))
     return cells.filter(F.col("residue") != "-").groupBy("site", "residue").agg(F.count(F.lit(1)).alias("n"))
 
 

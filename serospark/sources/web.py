@@ -31,7 +31,7 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 def extract_links(pages: DataFrame, suffix: str = ".pdf", html: str = "html", url: str = "url") -> DataFrame:
     """``(url, position, link)``: anchors whose target ends in ``suffix``, resolved against the page."""
-    found = pages.select(url, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("position", "href"))
+    found = pages.select(url, F.posexplode_outer(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("position", "href")).filter("href IS NOT NULL")
     plain = F.replace(F.trim("href"), F.lit("&amp;"), F.lit("&"))
     kept = found.withColumn("href", plain).filter(F.col("href").endswith(suffix))
     return kept.select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
