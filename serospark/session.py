@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +26,22 @@ def build_session(master: str | None = None, app: str = "serospark", **conf) ->
     return builder.getOrCreate()
 
 
-def _shared_dir(spark: SparkSession) -> str | None:
+def _shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else None
+    if current.isDefined():
+        return current.get()
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints: ``spark.checkpoint.dir``, else a folder in the warehouse.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder; a cluster without the setting is an error, because executors on other
-    machines could not read a machine-local path.
+    Both are places that the cluster shares; a machine-local temporary folder is never used.
     """
     shared = _shared_dir(spark)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="serospark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -66,3 +61,12 @@ def cut_lineage(df: DataFrame, label: str = "state") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by ``cut_lineage`` that nothing reads any more."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
