@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, urlfilter
-from serospark.session import cut_lineage
+from serospark.llm import chat, decontaminate, tokenids, urlfilter
+from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,14 @@ FROM ruled JOIN rated USING (host)"""
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels", "doc_id", "quality").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return urlfilter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), outcomes, RULES)
+
+
+def word_tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_token_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    tokenids.write_ids(table(spark, sf_dir, "documents", "doc_id", "text"), word_tokenizer(), path)
+    return tokenids.read_ids(spark, path)
