@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, tokenids, urlfilter
+from serospark.llm import chat, decontaminate, packing, tokenids, urlfilter
 from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     tokenids.write_ids(table(spark, sf_dir, "documents", "doc_id", "text"), word_tokenizer(), path)
     return tokenids.read_ids(spark, path)
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_tokenizer())
