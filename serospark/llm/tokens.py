@@ -11,14 +11,13 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 from tokenizers import Tokenizer
 
+from serospark.llm.texts import pieces
+
 # Words kept per worker (some 200 bytes each); the memory starts anew when it is full.
 WORDS_KEPT = 700_000
-# Texts are split piece by piece, so a very long one is never a list of all its words.
-PIECE_BYTES = 1 << 20
 _ENDS = ".,!?;:"
 _WORD_MAKE = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -84,19 +83,6 @@ class _Words(dict):
         return packed([t.id for t in self.model.tokenize(letters)])
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    start = 0
-    while len(data) - start > PIECE_BYTES:
-        end = data.rfind(b" ", start, start + PIECE_BYTES)
-        if end < start:
-            end = data.find(b" ", start + PIECE_BYTES)
-            if end < 0:
-                break
-        yield data[start:end]
-        start = end
-    yield data[start:]
-
-
 class Encoder:
     """``ids(text)`` gives the ids of a text's UTF-8 bytes as little-endian unsigned 32-bit integers."""
 
@@ -108,9 +94,7 @@ class Encoder:
         if self.words is None:
             return packed(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
         look = self.words.__getitem__
-        if len(text) <= PIECE_BYTES:
-            return b"".join(map(look, text.split()))
-        return b"".join(b"".join(map(look, p.split())) for p in _pieces(text))
+        return b"".join(b"".join(map(look, p.split())) for p in pieces(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
