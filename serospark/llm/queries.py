@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, packing, simhash, tokenids, urlfilter
+from serospark.llm import chat, decontaminate, packing, simhash, sketches, tokenids, urlfilter
 from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketches.edited_likeness(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.text_of(F.col("own")).alias("fingerprint"), sketches.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"))

@@ -13,7 +13,7 @@ K = 64
 SHINGLE = 5
 _SPACE = float(2**63)
 # Rows per range of ids, and the largest number of ranges: range bounds are constants of the plan.
-RANGE_ROWS = 100
+RANGE_ROWS = 250
 MAX_RANGES = 1 << 16
 
 
@@ -80,9 +80,14 @@ def fingerprints(documents: DataFrame, k: int = K, size: int = SHINGLE) -> DataF
     return documents.select("doc_id", sketch(shingle_hashes(F.col("text"), size), k).alias("sketch"))
 
 
+def _constant(values: list[int]) -> Column:
+    """A constant array of longs, folded by the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _range_of(value: Column, bounds: list[int]) -> Column:
     """How many of the sorted ``bounds`` are not above ``value``: a binary search in a constant array."""
-    held = F.lit(bounds) if bounds else F.array().cast("array<long>")
+    held = _constant(bounds)
     steps, step = [], 1 << max(0, len(bounds).bit_length() - 1)
     while step:
         steps.append(step)
@@ -104,7 +109,7 @@ def with_next(documents: DataFrame, carried: list[str], range_rows: int = RANGE_
     bounds = sorted(set(cuts or []) - {least})
     at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range_of(F.col("doc_id"), bounds))
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(least)
-    opens = F.lit(False) if not bounds else F.coalesce(F.get(F.lit(bounds), F.col("range") - 1) == F.col("doc_id"), F.lit(False))
+    opens = F.lit(False) if not bounds else F.coalesce(F.get(_constant(bounds), F.col("range") - 1) == F.col("doc_id"), F.lit(False))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("copy"), F.lit(False).alias("around"))
     before = F.struct((F.col("range") - 1).alias("range"), F.lit(True).alias("copy"), F.lit(False).alias("around"))
     around = F.struct(F.lit(len(bounds)).alias("range"), F.lit(True).alias("copy"), F.lit(True).alias("around"))
