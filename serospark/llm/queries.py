@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, packing, simhash, sketches, tokenids, urlfilter
+from serospark.llm import chat, decontaminate, langid, packing, simhash, sketches, tokenids, toxicity, urlfilter
 from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.text_of(F.col("own")).alias("fingerprint"), sketches.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
         sketches.resemblance(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
         sketches.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"))
+
+
+def held_out():
+    return toxicity.remainder("doc_id") == 2
+
+
+def learnt(df: DataFrame) -> DataFrame:
+    """Rows that may be learnt from."""
+    return df.filter(toxicity.remainder("doc_id") != 2)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(documents, learnt(table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    scored = toxicity.score(documents, model, "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(learnt(documents))
+    return langid.identify(documents, model, "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
