@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, langid, packing, simhash, sketches, tokenids, toxicity, urlfilter
+from serospark.llm import chat, decontaminate, langid, packing, pii, simhash, sketches, tokenids, toxicity, urlfilter
 from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(learnt(documents))
     return langid.identify(documents, model, "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+    return found.select(
+        "doc_id", *[count(k) for k in range(len(pii.KINDS))], F.sha2(pii.listed_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.listed_spans(F.col("spans")).alias("spans"))
