@@ -27,7 +27,7 @@ def fit(documents: DataFrame, rows: int = TRAIN_ROWS, seed: int = 1) -> Model:
     classes = sorted({y for y, _ in found})
     if len(classes) < 2:
         return Model(classes, np.zeros((1 << 10, len(classes)), np.float32), np.zeros(len(classes)), 10)
-    return train([t for _, t in found], [y for y, _ in found], epochs=5, pull=50.0, seed=seed)
+    return train([t for _, t in found], [y for y, _ in found], epochs=(5, 40), steps=15_000, seed=seed)
 
 
 def identify(documents: DataFrame, model: Model, *keys: str, reject_below: float = 0.0) -> DataFrame:

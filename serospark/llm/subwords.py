@@ -164,30 +164,42 @@ def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def train(texts: list[str], labels: list, dims: int = 8, epochs: int = 10, rate: float = 0.5, pull: float = 200.0,
-          bits: int = BITS, seed: int = 1) -> Model:
+def train(texts: list[str], labels: list, dims: int = 8, steps: int = 90_000, epochs: tuple[int, int] = (15, 100), rate: float = 0.5,
+          pull: float = 200.0, decay: float = 0.01, least: int = 20, bits: int = BITS, seed: int = 1) -> Model:
     """Fit on whole texts, one at a time in shuffled order, with a rate falling to zero.
 
-    ``pull`` scales the step of the embeddings: averages over thousands of features move them little.
-    The scores are calibrated afterwards on every fifth text, which is left out of training.
+    There are about ``steps`` steps, in no fewer or more ``epochs`` than given. ``pull`` scales the step
+    of the embeddings: averages over thousands of features move them little. ``decay`` shrinks the
+    embeddings of a text's features at each step (less so below 3,000 texts), so that what single texts
+    leave behind fades. Features of fewer than ``least`` texts (fewer for small samples) count in
+    averages but have no embedding. The scores are calibrated afterwards on every fifth text, which is
+    left out of training.
     """
+    rounds = int(np.clip(steps / max(1, len(texts)), *epochs))
+    decay *= min(1.0, len(texts) / 3000)
     classes = sorted(set(labels))
     index = {c: i for i, c in enumerate(classes)}
     rng = np.random.default_rng(seed)
     bags, wanted = [bag(t, bits) for t in texts], np.array([index[y] for y in labels])
+    seen = np.zeros(1 << bits, np.int32)
+    for ids, _ in bags:
+        seen[ids] += 1
+    common = seen >= min(least, max(1, len(texts) // 30))
+    bags = [(ids[common[ids]], part[common[ids]]) for ids, part in bags]
     table = rng.uniform(-1 / dims, 1 / dims, (1 << bits, dims)).astype(np.float32)
+    table[~common] = 0
     weights = rng.uniform(-0.1, 0.1, (dims, len(classes))).astype(np.float32)
     share = np.bincount(wanted, minlength=len(classes)) + 1.0
     bias = np.log(share / share.sum()).astype(np.float32)
     aside = np.arange(len(texts)) % 5 == 4
     fitted = np.flatnonzero(~aside) if aside.any() else np.arange(len(texts))
-    steps, done = epochs * len(fitted), 0
-    for _ in range(epochs):
+    done, end = 0, rounds * len(fitted)
+    for _ in range(rounds):
         for i in rng.permutation(fitted):
             ids, part = bags[i]
             if not len(ids):
                 continue
-            now = rate * (1 - done / steps)
+            now = rate * (1 - done / end)
             done += 1
             hidden = part @ table[ids]
             p = softmax((hidden @ weights + bias)[None])[0]
@@ -195,7 +207,7 @@ def train(texts: list[str], labels: list, dims: int = 8, epochs: int = 10, rate:
             back = weights @ p
             weights -= now * np.outer(hidden, p)
             bias -= 0.01 * now * p
-            table[ids] -= (now * pull) * part[:, None] * back
+            table[ids] = table[ids] * (1 - now * decay) - (now * pull) * part[:, None] * back
     model = Model(classes, table @ weights, bias, bits)
     if aside.any():
         held = np.flatnonzero(aside)
