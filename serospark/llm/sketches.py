@@ -81,12 +81,14 @@ def fingerprints(documents: DataFrame, k: int = K, size: int = SHINGLE) -> DataF
 
 
 def _constant(values: list[int]) -> Column:
-    """A constant array of longs, folded by the optimizer."""
+    """A constant array of longs (at least one), folded by the optimizer."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
     """How many of the sorted ``bounds`` are not above ``value``: a binary search in a constant array."""
+    if not bounds:
+        return F.lit(0)
     held = _constant(bounds)
     steps, step = [], 1 << max(0, len(bounds).bit_length() - 1)
     while step:

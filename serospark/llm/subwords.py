@@ -69,8 +69,10 @@ def features(texts: list[str], bits: int = BITS, grams: tuple[int, ...] = GRAMS)
     power = 1
     for size in range(2, max(grams) + 1):
         power = power * _PRIME & 0xFFFFFFFF
+        if size > n:
+            break
         h[:n - size + 1] += c[size - 1:] * np.uint32(power)
-        if size in grams and n >= size:
+        if size in grams:
             inner = np.zeros(n, bool)
             inner[:n - size + 1] = stop[1:n - size + 2] >= position[:n - size + 1] + size - 1
             ids.append(_mixed(h, size, bits))
