@@ -20,8 +20,9 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: list[s
     Every key of ``left`` is dealt over the same number of slices by the hash of ``spread_by``, and
     ``right`` is repeated once per slice, so a key that holds a third of the rows still becomes
     ``slices`` equal parts. Nothing depends on counting keys first. A null key matches nothing and
-    is spread the same way.
+    is spread the same way. Sizes estimated from files say little about such tables, so the copies
+    are merged, not broadcast.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
     copies = right.withColumn("_slice", F.explode(F.array(*[F.lit(i) for i in range(slices)])))
-    return left.withColumn("_slice", salt).join(copies, [key, "_slice"], "left").drop("_slice")
+    return left.withColumn("_slice", salt).join(copies.hint("merge"), [key, "_slice"], "left").drop("_slice")
