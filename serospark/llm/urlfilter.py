@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from serospark.llm.common import lower_ascii, salted_lookup
+from serospark.session import cut_lineage
 
 
 class Rule(NamedTuple):
@@ -121,8 +122,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (
     """
     known = outcomes.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     parts = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    hosts = parts.join(known, "page_id", "left").groupBy("host").agg(
-        F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    # Every level is summed from this table, which is written once.
+    hosts = cut_lineage(parts.join(known, "page_id", "left").groupBy("host").agg(
+        F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
     known_hosts = reputations(hosts, how).select("host", F.col("mean").alias("bad_share"), "bound")
     judged = salted_lookup(parts, known_hosts, "host", ["page_id", "path"])
     best = fitting_rule(F.col("host"), F.col("path"), rules)
