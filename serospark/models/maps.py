@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions.hashing import unit_hash
 from serospark.operators.titres import column_basis_distance
-from serospark.plans.skew import HOT_ROWS, lookup, lookup_as, slice_size
+from serospark.plans.skew import SLICES, lookup, lookup_as
 from serospark.session import cut_lineage
 
 # Coordinates (nodes x restarts x dimensions) that may be shared with every task: 32 MB of doubles.
@@ -21,13 +21,12 @@ def _axes(dims: int) -> list[str]:
     return [f"x{i}" for i in range(dims)]
 
 
-def _with_ends(edges: DataFrame, places: DataFrame, axes: list[str], hot_rows: int | None) -> DataFrame:
+def _with_ends(edges: DataFrame, places: DataFrame, axes: list[str], slices: int) -> DataFrame:
     """Edges repeated per restart, with the places of both ends."""
-    hot = slice_size(edges, hot_rows)
     wide = places.groupBy("node").agg(F.collect_list(F.struct("restart", *axes)).alias("_p"))
     # One row per node holds all its restarts, so the lookups stay unique-keyed.
-    out = lookup(edges, wide.select(F.col("node").alias("a"), F.col("_p").alias("_pa")), "a", "inner", hot)
-    out = lookup(out, wide.select(F.col("node").alias("b"), F.map_from_entries(F.transform("_p", lambda p: F.struct(p["restart"], p))).alias("_pb")), "b", "inner", hot)
+    out = lookup(edges, wide.select(F.col("node").alias("a"), F.col("_p").alias("_pa")), "a", "inner", slices)
+    out = lookup(out, wide.select(F.col("node").alias("b"), F.map_from_entries(F.transform("_p", lambda p: F.struct(p["restart"], p))).alias("_pb")), "b", "inner", slices)
     out = out.select("a", "b", "dist", "censored", F.explode("_pa").alias("_u"), "_pb")
     out = out.select("a", "b", "dist", "censored", F.col("_u.restart").alias("restart"), "_u", F.col("_pb")[F.col("_u.restart")].alias("_v"))
     return out.select("a", "b", "dist", "censored", "restart", *[F.col(f"_u.{x}").alias(f"a_{x}") for x in axes], *[F.col(f"_v.{x}").alias(f"b_{x}") for x in axes])
@@ -41,10 +40,10 @@ def _gaps(ends: DataFrame, axes: list[str]) -> DataFrame:
     return out.withColumn("gap", F.when(F.col("censored") & (gap > 0), F.lit(0.0)).otherwise(gap))
 
 
-def stress(edges: DataFrame, places: DataFrame, dims: int = 2, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def stress(edges: DataFrame, places: DataFrame, dims: int = 2, slices: int = SLICES) -> DataFrame:
     """``(restart, stress)``: summed squared residuals."""
     axes = _axes(dims)
-    return _gaps(_with_ends(edges, places, axes, hot_rows), axes).groupBy("restart").agg(F.sum(F.col("gap") * F.col("gap")).alias("stress"))
+    return _gaps(_with_ends(edges, places, axes, slices), axes).groupBy("restart").agg(F.sum(F.col("gap") * F.col("gap")).alias("stress"))
 
 
 def embed(
@@ -54,7 +53,7 @@ def embed(
     rounds: int = 50,
     seed: int = 42,
     keep_every: int = 5,
-    hot_rows: int | None = HOT_ROWS,
+    slices: int = SLICES,
     max_shared: int = MAX_SHARED,
 ) -> DataFrame:
     """``(node, restart, x0, ...)`` minimising the stress of ``edges`` ``(a, b, dist, censored)``.
@@ -73,7 +72,7 @@ def embed(
         ((unit_hash(F.col("node"), F.col("restart"), F.lit(i), seed=seed) - 0.5) * span).alias(x) for i, x in enumerate(_axes(dims))])
     if nodes.count() * restarts * dims <= max_shared:
         return _embed_shared(edges, places, dims, restarts, rounds)
-    return _embed_joined(edges, places, dims, rounds, keep_every, hot_rows)
+    return _embed_joined(edges, places, dims, rounds, keep_every, slices)
 
 
 def _embed_shared(edges: DataFrame, places: DataFrame, dims: int, restarts: int, rounds: int) -> DataFrame:
@@ -116,13 +115,13 @@ def _embed_shared(edges: DataFrame, places: DataFrame, dims: int, restarts: int,
     return spark.createDataFrame(done, "node string, restart int, " + ", ".join(f"{x} double" for x in _axes(dims)))
 
 
-def _embed_joined(edges: DataFrame, places: DataFrame, dims: int, rounds: int, keep_every: int, hot_rows: int | None) -> DataFrame:
+def _embed_joined(edges: DataFrame, places: DataFrame, dims: int, rounds: int, keep_every: int, slices: int) -> DataFrame:
     """Rounds as joins; forces combine on the map side, so a serum measured against everything is
     one partial sum per task. Places are written out every ``keep_every`` rounds."""
     axes = _axes(dims)
     places = cut_lineage(places, "places")
     for done in range(1, rounds + 1):
-        moved = _gaps(_with_ends(edges, places, axes, hot_rows), axes)
+        moved = _gaps(_with_ends(edges, places, axes, slices), axes)
         pull = F.when(F.col("d") > 1e-12, F.col("gap") / F.col("d")).otherwise(F.lit(0.0))
         moved = moved.select("a", "b", "restart", *[(pull * (F.col(f"b_{x}") - F.col(f"a_{x}"))).alias(x) for x in axes])
         ends = F.explode(F.array(

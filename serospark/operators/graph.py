@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions import titres as T
 from serospark.operators.titres import involved_names, numeric_edges
-from serospark.plans.skew import HOT_ROWS, keep_both_ends, lookup, slice_size
-from serospark.session import cut_lineage
-
-
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool]) -> DataFrame:
-    """Apply ``step`` until ``done(old, new)``; states are written out, so plans stay short."""
-    state = cut_lineage(start)
-    while True:
-        following = cut_lineage(step(state))
-        if done(state, following):
-            return following
-        state = following
+from serospark.plans.skew import SLICES, keep_both_ends, lookup, lookup_as, ordered_ids
+from serospark.session import cut_lineage, drop_table
 
 
 def prune_sparse(
@@ -28,59 +16,78 @@ def prune_sparse(
     column: str = "virus_2",
     titre: str = "titre",
     min_valid: int = 4,
-    hot_rows: int | None = HOT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Drop rows and columns with fewer than ``min_valid`` numeric cells until nothing changes.
 
-    Both counts of a round are taken on the same state. Rounds only remove cells, so the loop ends.
+    Both counts of a round are taken on the same state. The cells are written once; a round reads the
+    names of numeric cells and writes the keys that stay. Rounds only remove keys, so the loop ends.
     """
-    def step(state: DataFrame) -> DataFrame:
-        numeric = F.count_if(T.titre_kind(F.col(titre)) == T.NUMBER)
-        rows = state.groupBy(row).agg(numeric.alias("_n")).filter(F.col("_n") >= min_valid).select(row)
-        columns = state.groupBy(column).agg(numeric.alias("_n")).filter(F.col("_n") >= min_valid).select(column)
-        hot = slice_size(state, hot_rows)
-        kept = lookup(state, rows, row, "inner", hot)
-        return lookup(kept, columns, column, "inner", hot).select(*state.columns)
+    if min_valid <= 0:
+        return cells
+    stored = cut_lineage(cells, "cells")
+    numeric = stored.filter(T.titre_kind(F.col(titre)) == T.NUMBER).select(F.col(row).alias("r"), F.col(column).alias("c"))
+    state, kept, before = numeric, None, -1
+    while True:
+        ends = F.explode(F.array(F.struct(F.lit(True).alias("is_row"), F.col("r").alias("key")), F.struct(F.lit(False).alias("is_row"), F.col("c").alias("key"))))
+        counts = state.select(ends.alias("e")).groupBy("e.is_row", "e.key").agg(F.count(F.lit(1)).alias("n"))
+        following = cut_lineage(counts.filter(F.col("n") >= min_valid).select("is_row", "key"), "keys")
+        if kept is not None:
+            drop_table(kept)
+        kept, size = following, following.count()
+        rows, columns = (kept.filter(F.col("is_row") == flag).select(F.col("key").alias(name)) for flag, name in ((True, "r"), (False, "c")))
+        if size == before:
+            break
+        before = size
+        state = lookup(lookup(numeric, rows, "r", "inner", slices), columns, "c", "inner", slices)
+    left = lookup(stored, rows.withColumnRenamed("r", row), row, "inner", slices)
+    return lookup(left, columns.withColumnRenamed("c", column), column, "inner", slices).select(*cells.columns)
+
+
+def _minima(state: DataFrame) -> DataFrame:
+    return state.groupBy("u").agg(F.min("v").alias("_m"))
+
+
+def _star_round(state: DataFrame, slices: int) -> DataFrame:
+    """One large-star and one small-star step on ids ``(u, v)`` with ``u > v``."""
+    def oriented(df: DataFrame) -> DataFrame:
+        return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    return fixpoint(cells, step, lambda old, new: old.count() == new.count())
+    both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = _minima(both).select("u", F.least("u", "_m").alias("_m"))
+    large = oriented(lookup(both.filter("v > u"), lowest, "u", "inner", slices).select(F.col("v").alias("u"), F.col("_m").alias("v")))
+    lowest = _minima(large)
+    linked = lookup(large, lowest, "u", "inner", slices).select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    return oriented(linked.union(lowest.select("u", F.col("_m").alias("v"))))
 
 
-def connected_components(edges: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, slices: int = SLICES) -> DataFrame:
     """``(name, component)`` for undirected edges ``(a, b)``; the component is its smallest name.
 
-    Alternates the large-star and small-star steps of the published min-label method, which needs
-    few rounds on long chains too. Minima are combined on the map side and joined back with
-    ``lookup``, so a hub with many edges is spread over tasks. The loop ends when the edges form
-    stars around their smallest name.
+    Names are numbered once in their own order, so rounds work on numbers and a smallest number is a
+    smallest name. Rounds alternate the large-star and small-star steps of the published min-label
+    method, which needs few of them on long chains too. Minima are combined on the map side and
+    joined back with ``lookup``, so a hub with many edges is spread over tasks. The loop ends when a
+    round changes no edge.
     """
-    def oriented(df: DataFrame) -> DataFrame:
-        return df.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-
-    def large_star(state: DataFrame, hot: int | None) -> DataFrame:
-        mirrored = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = mirrored.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        larger = mirrored.filter(F.col("v") > F.col("u"))
-        return lookup(larger, lowest, "u", "inner", hot).select(F.col("v").alias("a"), F.col("_m").alias("b"))
-
-    def small_star(state: DataFrame, hot: int | None) -> DataFrame:
-        lowest = state.groupBy("u").agg(F.min("v").alias("_m"))
-        linked = lookup(state, lowest, "u", "inner", hot)
-        return linked.select(F.col("v").alias("a"), F.col("_m").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("_m").alias("b")))
-
-    def step(state: DataFrame) -> DataFrame:
-        hot = slice_size(state, hot_rows)
-        return oriented(small_star(oriented(large_star(state, hot)), hot))
-
-    def is_stars(_: DataFrame, state: DataFrame) -> bool:
-        leaves = state.select(F.col("u").alias("v"))
-        inner = state.select("v").distinct().join(leaves.distinct(), "v", "left_semi")
-        counts = state.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("d")).first()
-        return counts["n"] == counts["d"] and inner.isEmpty()
-
-    stars = fixpoint(oriented(edges), step, is_stars)
-    names = involved_names(edges, "a", "b")
-    labels = stars.select(F.col("u").alias("name"), F.col("v").alias("component"))
-    return names.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    edges = cut_lineage(edges.select("a", "b"), "edges")
+    numbers = ordered_ids(involved_names(edges, "a", "b"))
+    coded = lookup_as(lookup_as(edges, numbers, "a", "name", {"id": "u"}, slices=slices), numbers, "b", "name", {"id": "v"}, slices=slices)
+    state = cut_lineage(coded.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen = mark(state)
+    while seen[0]:
+        following = cut_lineage(_star_round(state, slices), "edges")
+        drop_table(state)
+        state, before, seen = following, seen, mark(following)
+        if seen == before:
+            break
+    roots = lookup(numbers, state.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left", slices)
+    named = lookup_as(roots.filter("root IS NOT NULL"), numbers, "root", "id", {"name": "component"}, slices=slices)
+    return named.select("name", "component").union(roots.filter("root IS NULL").select("name", F.col("name").alias("component")))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -88,10 +95,11 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 
 def largest_component(
-    cells: DataFrame, row: str = "virus_1", column: str = "virus_2", titre: str = "titre", hot_rows: int | None = HOT_ROWS
+    cells: DataFrame, row: str = "virus_1", column: str = "virus_2", titre: str = "titre", slices: int = SLICES
 ) -> DataFrame:
     """Cells whose row and column lie in the component with the most names (ties: smallest id)."""
-    components = cut_lineage(connected_components(numeric_edges(cells, row, column, titre), hot_rows))
+    cells = cut_lineage(cells, "cells")
+    components = cut_lineage(connected_components(numeric_edges(cells, row, column, titre), slices))
     best = component_sizes(components).orderBy(F.desc("n_names"), "component").limit(1).select("component")
     names = components.join(F.broadcast(best), "component", "left_semi").select("name")
-    return keep_both_ends(cells, names, row, column, hot_rows)
+    return keep_both_ends(cells, names, row, column, slices)

@@ -3,81 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-# A key is hot from this many rows on; one salted slice of a hot key holds about as many.
-HOT_ROWS = 2_000_000
-# Tables estimated below this size are joined plainly: none of their keys can be worth slicing.
-SALT_BYTES = 1 << 30
-# Keys counted as hot are the largest ones, never more than this: the broadcast list is bounded.
-MAX_HOT_KEYS = 1_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The at most ``MAX_HOT_KEYS`` keys with ``hot_rows`` rows or more, with a slice count each."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_slices"))
-    )
-
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; joins are estimated high, never low."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from serospark.session import cut_lineage
 
-def slice_size(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> int | None:
-    """``hot_rows`` for lookups on ``df``, or None where it is too small to hold a hot key.
-
-    An explicit size other than the default is always kept.
-    """
-    if hot_rows != HOT_ROWS:
-        return hot_rows
-    return None if estimated_bytes(df) < SALT_BYTES else hot_rows
+# Into how many slices the rows of every key are dealt.
+SLICES = 8
 
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str] | str,
-    how: str = "inner",
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner", slices: int = SLICES) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has one row per key.
 
-    Rows of a hot key on the left are spread over several slices and the matching right row is
-    repeated once per slice, so no task receives a whole hot key. Small right sides are still
-    turned into a broadcast join by the optimizer's own size check. A small left side, or
-    ``hot_rows=None``, is joined plainly; adaptive execution still splits skewed partitions there.
+    The rows of every key on the left are dealt over the same number of slices, and every right row
+    is repeated once per slice, so a key that holds a third of the rows becomes ``slices`` equal
+    parts. No key is counted first and nothing depends on sizes. A right side that the optimizer's
+    own size check finds small is broadcast. A null key matches nothing and is dealt the same way.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot_rows = slice_size(left, hot_rows)
-    if hot_rows is None:
-        return left.join(right, keys, how)
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows))
     # Equal rows of one key still spread, by the task they come from; a retried task repeats its slices.
     hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    # Null keys match nothing, so an outer join may put them in any slice.
-    slices = F.when(no_key, F.lit(MAX_HOT_KEYS)).otherwise(F.coalesce(F.col("_slices"), F.lit(1)))
-    spread = (
-        left.join(hot, keys, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), slices.cast("long")).cast("int"))
-        .drop("_slices")
-    )
-    copies = (
-        right.join(hot, keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
-        .drop("_slices")
-    )
-    return spread.join(copies, [*keys, "_slice"], how).drop("_slice")
+    dealt = left.withColumn("_slice", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(slices)).cast("int"))
+    copies = right.withColumn("_slice", F.explode(F.lit(list(range(slices)))))
+    return dealt.join(copies, [*keys, "_slice"], how).drop("_slice")
 
 
 def lookup_as(
@@ -87,35 +35,33 @@ def lookup_as(
     right_key: str,
     values: dict[str, str],
     how: str = "inner",
-    hot_rows: int | None = HOT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """``lookup`` on differently named keys; ``values`` maps right columns to new names."""
     renamed = right.select(
         F.col(right_key).alias(left_key), *[F.col(old).alias(new) for old, new in values.items()]
     )
-    return lookup(left, renamed, left_key, how, hot_rows)
+    return lookup(left, renamed, left_key, how, slices)
 
 
-def keep_members(df: DataFrame, members: DataFrame, column: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def keep_members(df: DataFrame, members: DataFrame, column: str, slices: int = SLICES) -> DataFrame:
     """Rows whose ``column`` occurs in the single-column table ``members`` (made distinct here)."""
     distinct = members.select(F.col(members.columns[0]).alias(column)).distinct()
-    return lookup(df, distinct, column, "inner", hot_rows).select(*df.columns)
+    return lookup(df, distinct, column, "inner", slices).select(*df.columns)
 
 
-def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, slices: int = SLICES) -> DataFrame:
     """Rows whose two ends both occur in ``members``."""
-    hot_rows = slice_size(df, hot_rows)
-    return keep_members(keep_members(df, members, a, hot_rows), members, b, hot_rows)
+    return keep_members(keep_members(df, members, a, slices), members, b, slices)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer splits than the cluster has cores; others stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of an input whose rows cost more than their transport over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def with_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], slices: int = SLICES
 ) -> DataFrame:
     """Add per-group aggregates to every row.
 
@@ -123,4 +69,26 @@ def with_group_stats(
     on the map side and joined back with ``lookup``.
     """
     table = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in stats.items()])
-    return lookup(df, table, list(keys), "inner", hot_rows)
+    return lookup(df, table, list(keys), "inner", slices)
+
+
+def ordered_ids(names: DataFrame) -> DataFrame:
+    """``(name, id)`` for the distinct names of a one-column table; ids ascend with the names.
+
+    Names are dealt by ranges and numbered within their task, so no task sees them all. The table is
+    written out, so a retry cannot number anew.
+    """
+    name = names.columns[0]
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = names.distinct().repartitionByRange(tasks, name).sortWithinPartitions(name)
+    return cut_lineage(ranged.select(name, F.monotonically_increasing_id().alias("id")), "ids")
+
+
+def dense_ids(names: DataFrame, label: str = "id") -> DataFrame:
+    """``(name, label)`` with ids 0..n-1: the ids of every task, moved up by the number of names before it."""
+    ids = ordered_ids(names)
+    task, own = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    sizes = ids.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))  # a row per task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = ids.withColumn("task", task).join(F.broadcast(sizes.select("task", before.alias("before"))), "task")
+    return moved.select(names.columns[0], (F.col("before") + own).alias(label))

@@ -142,13 +142,30 @@ def test_salted_lookup_equals_a_join(spark, rows, how):
     left = spark.createDataFrame([(rng.choice(["hot"] * 6 + ["x", "y", None]), i) for i in range(400)], "k string, v int")
     right = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, w int")
     want = rows(left.join(right, "k", how), "k", "v", "w")
-    salted = skew.lookup(left, right, "k", how, hot_rows=20)
+    salted = skew.lookup(left, right, "k", how, slices=20)
     assert rows(salted, "k", "v", "w") == want
-    hot = {r["k"]: r["_slices"] for r in skew.hot_keys(left, ["k"], 20).collect() if r["k"]}
-    assert hot["hot"] > 5
 
 
-def test_small_tables_are_joined_plainly(spark):
-    left = spark.range(10)
-    assert skew.slice_size(left) is None and skew.slice_size(left, 7) == 7
-    assert skew.slice_size(spark.range(1 << 40)) == skew.HOT_ROWS
+def test_lookup_spreads_any_number_of_hot_keys(spark):
+    """A key with a third of the rows and 5,000 smaller ones: no partition holds much more than its share."""
+    left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"), "id")
+    right = spark.range(-1, 5000).select(F.col("id").alias("k"), F.lit(1).alias("w")).hint("merge")
+    plain = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        joined = skew.lookup(left, right, "k", slices=32)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 16
+
+
+def test_ids_follow_the_order_of_names(spark):
+    names = spark.createDataFrame([(f"n{i * 7919 % 1000:04d}",) for i in range(1500)], "name string")
+    for ids, label in ((skew.ordered_ids(names), "id"), (skew.dense_ids(names, "k"), "k")):
+        found = [r["name"] for r in ids.orderBy(label).collect()]
+        assert found == sorted(found) and len(found) == 1000
+    assert sorted(r["k"] for r in skew.dense_ids(names, "k").collect()) == list(range(1000))

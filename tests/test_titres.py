@@ -73,7 +73,7 @@ def test_column_basis(spark, rows):
     df = spark.createDataFrame([("a", "s", "40"), ("b", "s", "160"), ("c", "s", "<20"), ("d", "s", "*")], "test string, ref string, titre string")
     got = rows(T.column_basis_distance(df), "test", "distance", "censored")
     assert got == [("a", 2.0, False), ("b", 0.0, False), ("c", 3.0, True)]
-    assert rows(T.column_basis_distance(df, hot_rows=1), "test", "distance", "censored") == got
+    assert rows(T.column_basis_distance(df, slices=3), "test", "distance", "censored") == got
 
 
 def test_matrix_fills_gaps_and_rejects_duplicates(spark, rows):
@@ -104,7 +104,7 @@ def test_prune_cascades(spark, rows):
     assert len(want) == 28 < len(cells)
     pruned = G.prune_sparse(df)
     assert rows(pruned) == sorted((r, c, t) for (r, c), t in want.items())
-    assert rows(G.prune_sparse(pruned, hot_rows=1)) == rows(pruned)
+    assert rows(G.prune_sparse(pruned, slices=3)) == rows(pruned)
 
 
 def test_components_of_paths_and_hubs(spark, rows):
@@ -112,8 +112,8 @@ def test_components_of_paths_and_hubs(spark, rows):
     hub = [("hub", f"h{i:03d}") for i in range(50)]
     loop = [("self", "self"), ("y", "x"), ("x", "y")]
     edges = spark.createDataFrame(path + hub + loop, "a string, b string")
-    for hot in (None, 5):
-        got = dict(rows(G.connected_components(edges, hot_rows=hot)))
+    for slices in (1, 5):
+        got = dict(rows(G.connected_components(edges, slices=slices)))
         assert {got[f"p{i:03d}"] for i in range(61)} == {"p000"}
         assert {got[f"h{i:03d}"] for i in range(50)} | {got["hub"]} == {"h000"}
         assert got["self"] == "self" and got["x"] == got["y"] == "x"
