@@ -3,47 +3,57 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions.hashing import unit_hash
 from serospark.operators.titres import column_basis_distance
-from serospark.plans.skew import SLICES, lookup, lookup_as
-from serospark.session import cut_lineage
+from serospark.plans.skew import SLICES, dense_ids, lookup
+from serospark.session import cut_lineage, drop_table
 
-# Coordinates (nodes x restarts x dimensions) that may be shared with every task: 32 MB of doubles.
-MAX_SHARED = 4_000_000
+# Nodes whose forces a task adds up before it hands them on.
+HELD_NODES = 50_000
 
 
 def _axes(dims: int) -> list[str]:
     return [f"x{i}" for i in range(dims)]
 
 
-def _with_ends(edges: DataFrame, places: DataFrame, axes: list[str], slices: int) -> DataFrame:
-    """Edges repeated per restart, with the places of both ends."""
-    wide = places.groupBy("node").agg(F.collect_list(F.struct("restart", *axes)).alias("_p"))
-    # One row per node holds all its restarts, so the lookups stay unique-keyed.
-    out = lookup(edges, wide.select(F.col("node").alias("a"), F.col("_p").alias("_pa")), "a", "inner", slices)
-    out = lookup(out, wide.select(F.col("node").alias("b"), F.map_from_entries(F.transform("_p", lambda p: F.struct(p["restart"], p))).alias("_pb")), "b", "inner", slices)
-    out = out.select("a", "b", "dist", "censored", F.explode("_pa").alias("_u"), "_pb")
-    out = out.select("a", "b", "dist", "censored", F.col("_u.restart").alias("restart"), "_u", F.col("_pb")[F.col("_u.restart")].alias("_v"))
-    return out.select("a", "b", "dist", "censored", "restart", *[F.col(f"_u.{x}").alias(f"a_{x}") for x in axes], *[F.col(f"_v.{x}").alias(f"b_{x}") for x in axes])
+def _with_ends(edges: DataFrame, places: DataFrame, slices: int) -> DataFrame:
+    """Edges with the places of both ends: an array with all restarts, so an edge stays one row."""
+    out = lookup(edges, places.select(F.col("node").alias("a"), F.col("p").alias("_pa")), "a", "inner", slices)
+    return lookup(out, places.select(F.col("node").alias("b"), F.col("p").alias("_pb")), "b", "inner", slices)
 
 
-def _gaps(ends: DataFrame, axes: list[str]) -> DataFrame:
-    """Add map distance ``d`` and residual ``gap``; a bound only counts while the map is too close."""
-    square = sum(((F.col(f"a_{x}") - F.col(f"b_{x}")) * (F.col(f"a_{x}") - F.col(f"b_{x}")) for x in axes), F.lit(0.0))
-    out = ends.withColumn("d", F.sqrt(square))
-    gap = F.col("d") - F.col("dist")
-    return out.withColumn("gap", F.when(F.col("censored") & (gap > 0), F.lit(0.0)).otherwise(gap))
+def _residuals(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps from ``a`` to ``b``, map distances and residuals, per edge and restart.
+
+    A bound only counts while the map is too close.
+    """
+    ends = [np.stack(batch.column(c).to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1, dims) for c in ("_pa", "_pb")]
+    dist, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dist", "censored"))
+    step = ends[1] - ends[0]
+    d = np.sqrt((step * step).sum(axis=2))
+    gap = d - dist[:, None]
+    return step, d, np.where(bound[:, None].astype(bool) & (gap > 0), 0.0, gap)
+
+
+def _list_column(values: np.ndarray) -> pa.Array:
+    return pa.array(list(values.reshape(len(values), -1)), pa.list_(pa.float64()))
 
 
 def stress(edges: DataFrame, places: DataFrame, dims: int = 2, slices: int = SLICES) -> DataFrame:
-    """``(restart, stress)``: summed squared residuals."""
-    axes = _axes(dims)
-    return _gaps(_with_ends(edges, places, axes, slices), axes).groupBy("restart").agg(F.sum(F.col("gap") * F.col("gap")).alias("stress"))
+    """``(restart, stress)``: summed squared residuals of ``places (node, p)``."""
+    def squares(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, _, gap = _residuals(batch, dims)
+                total = (gap * gap).sum(axis=0)
+                yield pa.RecordBatch.from_pydict({"restart": pa.array(np.arange(len(total)), pa.int32()), "s": pa.array(total)})
+
+    parts = _with_ends(edges, places, slices).select("dist", "censored", "_pa", "_pb").mapInArrow(squares, "restart int, s double")
+    return parts.groupBy("restart").agg(F.sum("s").alias("stress"))
 
 
 def embed(
@@ -52,94 +62,62 @@ def embed(
     restarts: int = 1,
     rounds: int = 50,
     seed: int = 42,
-    keep_every: int = 5,
     slices: int = SLICES,
-    max_shared: int = MAX_SHARED,
 ) -> DataFrame:
-    """``(node, restart, x0, ...)`` minimising the stress of ``edges`` ``(a, b, dist, censored)``.
+    """``(node, p)`` minimising the stress of ``edges`` ``(a, b, dist, censored)``; ``p`` holds ``dims`` numbers per restart.
 
     Every round moves each node by its mean residual force over twice its degree. That step is the
-    minimum of a quadratic bound on the stress, so no round makes the stress worse. All restarts run
-    in the same job. Up to ``max_shared`` coordinates are shared with every task, and a round is one
-    pass over the edges; more are joined to the edges instead.
+    minimum of a quadratic bound on the stress, so no round makes the stress worse. A round joins the
+    places to the edges, all restarts on one edge row, and sums forces per node; tasks add up their
+    own nodes first, so a serum measured against everything is a few partial sums. Every
+    round's places are written out, and those before deleted.
     """
     edges = cut_lineage(edges.select("a", "b", F.col("dist").cast("double").alias("dist"), "censored"), "edges")
     span = edges.select(F.max("dist")).first()[0] or 1.0
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     nodes = cut_lineage(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "nodes")
-    starts = nodes.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    places = starts.select("node", "degree", "restart", *[
-        ((unit_hash(F.col("node"), F.col("restart"), F.lit(i), seed=seed) - 0.5) * span).alias(x) for i, x in enumerate(_axes(dims))])
-    if nodes.count() * restarts * dims <= max_shared:
-        return _embed_shared(edges, places, dims, restarts, rounds)
-    return _embed_joined(edges, places, dims, rounds, keep_every, slices)
-
-
-def _embed_shared(edges: DataFrame, places: DataFrame, dims: int, restarts: int, rounds: int) -> DataFrame:
-    """Rounds over edges with all coordinates at hand; tasks return one partial force per node."""
-    spark = edges.sparkSession
-    rows = places.orderBy("node", "restart").collect()  # bounded by max_shared
-    names = [r["node"] for r in rows[::restarts]]
-    degree = np.array([r["degree"] for r in rows[::restarts]], dtype=float)
-    at = np.array([[r[x] for x in _axes(dims)] for r in rows]).reshape(len(names), restarts, dims)
-    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, number int")
-    coded = lookup_as(lookup_as(edges, numbers, "a", "node", {"number": "i"}), numbers, "b", "node", {"number": "j"})
-    coded = cut_lineage(coded.select("i", "j", "dist", "censored"), "edges")
+    start = [((unit_hash(F.col("node"), F.lit(r), F.lit(i), seed=seed) - 0.5) * span) for r in range(restarts) for i in range(dims)]
+    places = cut_lineage(nodes.select("node", "degree", F.array(*start).alias("p")), "places")
+    size = restarts * dims
+
+    def forces(batches):
+        held: dict = {}
+
+        def out():
+            return pa.RecordBatch.from_pydict({"node": pa.array(list(held), pa.string()), "f": _list_column(np.stack(list(held.values())))})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            step, d, gap = _residuals(batch, dims)
+            pull = (np.divide(gap, d, out=np.zeros_like(d), where=d > 1e-12)[:, :, None] * step).reshape(len(d), size)
+            names, at = np.unique(np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
+            total = np.zeros((len(names), size))
+            np.add.at(total, at, np.concatenate([pull, -pull]))
+            for name, force in zip(names, total):
+                held[name] = held[name] + force if name in held else force
+            if len(held) > HELD_NODES:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(at)
-
-        def forces(batches):
-            x = shared.value
-            total = np.zeros_like(x)
-            for batch in batches:
-                i, j, dist, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "dist", "censored"))
-                step = x[j] - x[i]
-                d = np.sqrt((step * step).sum(axis=2))
-                gap = d - dist[:, None]
-                gap = np.where(bound[:, None] & (gap > 0), 0.0, gap)
-                pull = np.divide(gap, d, out=np.zeros_like(d), where=d > 1e-12)[:, :, None] * step
-                np.add.at(total, i, pull)
-                np.subtract.at(total, j, pull)
-            touched = np.flatnonzero(np.abs(total).sum(axis=(1, 2)))
-            flat = total[touched].reshape(len(touched), -1)
-            yield pa.RecordBatch.from_pydict({"number": pa.array(touched, pa.int32()), "force": pa.array(list(flat), pa.list_(pa.float64()))})
-
-        def added(pdf):
-            return pd.DataFrame({"number": [pdf["number"].iloc[0]], "force": [np.sum(np.stack(pdf["force"].to_list()), axis=0)]})
-
-        parts = coded.mapInArrow(forces, "number int, force array<double>")
-        for row in parts.groupBy("number").applyInPandas(added, "number int, force array<double>").collect():
-            at[row["number"]] += np.asarray(row["force"]).reshape(restarts, dims) / (2 * degree[row["number"]])
-        shared.unpersist()
-    done = [(n, r, *map(float, at[i, r])) for i, n in enumerate(names) for r in range(restarts)]
-    return spark.createDataFrame(done, "node string, restart int, " + ", ".join(f"{x} double" for x in _axes(dims)))
-
-
-def _embed_joined(edges: DataFrame, places: DataFrame, dims: int, rounds: int, keep_every: int, slices: int) -> DataFrame:
-    """Rounds as joins; forces combine on the map side, so a serum measured against everything is
-    one partial sum per task. Places are written out every ``keep_every`` rounds."""
-    axes = _axes(dims)
-    places = cut_lineage(places, "places")
-    for done in range(1, rounds + 1):
-        moved = _gaps(_with_ends(edges, places, axes, slices), axes)
-        pull = F.when(F.col("d") > 1e-12, F.col("gap") / F.col("d")).otherwise(F.lit(0.0))
-        moved = moved.select("a", "b", "restart", *[(pull * (F.col(f"b_{x}") - F.col(f"a_{x}"))).alias(x) for x in axes])
-        ends = F.explode(F.array(
-            F.struct(F.col("a").alias("node"), *[F.col(x).alias(x) for x in axes]),
-            F.struct(F.col("b").alias("node"), *[(-F.col(x)).alias(x) for x in axes])))
-        force = moved.select("restart", ends.alias("e")).groupBy("e.node", "restart").agg(*[F.sum(f"e.{x}").alias(f"f_{x}") for x in axes])
-        placed = places.join(force, ["node", "restart"], "left")
-        places = placed.select("node", "degree", "restart", *[
-            (F.col(x) + F.coalesce(F.col(f"f_{x}"), F.lit(0.0)) / (2 * F.col("degree"))).alias(x) for x in axes])
-        if done % keep_every == 0 or done == rounds:
-            places = cut_lineage(places, "places")
-    return places.drop("degree")
+        parts = _with_ends(edges, places, slices).select("a", "b", "dist", "censored", "_pa", "_pb").mapInArrow(forces, "node string, f array<double>")
+        summed = parts.groupBy("node").agg(F.array(*[F.sum(F.col("f")[i]) for i in range(size)]).alias("f"))
+        moved = F.zip_with("p", "f", lambda x, f: x + f / (2 * F.col("degree")))
+        following = places.join(summed, "node", "left").select("node", "degree", F.when(F.col("f").isNull(), F.col("p")).otherwise(moved).alias("p"))
+        following = cut_lineage(following, "places")
+        drop_table(places)
+        places = following
+    return places.select("node", "p")
 
 
 def best_restart(edges: DataFrame, places: DataFrame, dims: int = 2) -> DataFrame:
-    """The places of the restart with the least stress, with that stress."""
+    """``(node, x0, ..., stress)``: the places of the restart with the least stress."""
     best = stress(edges, places, dims).orderBy("stress", "restart").limit(1)
-    return places.join(F.broadcast(best), "restart").drop("restart")
+    own = [F.get("p", F.col("restart") * dims + i).alias(x) for i, x in enumerate(_axes(dims))]
+    return places.join(F.broadcast(best)).select("node", *own, "stress")
 
 
 def fit_map(titres: DataFrame, dims: int = 2, restarts: int = 100, rounds: int = 50, seed: int = 42, test: str = "test", ref: str = "ref", titre: str = "titre") -> DataFrame:
@@ -159,21 +137,14 @@ def mds(distances: DataFrame, dims: int = 2, restarts: int = 1, rounds: int = 50
     return best_restart(edges, embed(edges, dims, restarts, rounds, seed), dims).withColumnRenamed("node", "name")
 
 
-def _numbered(names: DataFrame, label: str) -> DataFrame:
-    """Dense integer ids, as the factorisation needs; written out, so a retry cannot renumber them."""
-    name = names.columns[0]
-    distinct = cut_lineage(names.distinct(), "names")
-    numbered = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return cut_lineage(numbered.toDF(f"{name} string, {label} long").withColumn(label, F.col(label).cast("int")), "numbered")
-
-
 def complete_matrix(cells: DataFrame, rank: int = 10, rounds: int = 10, penalty: float = 0.1, seed: int = 42, row: str = "a", column: str = "b", value: str = "dist"):
     """Low-rank model of a titre-distance matrix: fitted on known cells, fills any listed cell.
 
     Returns ``fill(wanted)``, which adds ``filled`` to ``(row, column)`` rows: the known value where
     there is one, else the prediction.
     """
-    rows, columns = _numbered(cells.select(row), "_r"), _numbered(cells.select(column), "_c")
+    # The factorisation takes ids of 32 bits; a table with more names fails instead of mixing them up.
+    rows, columns = (dense_ids(cells.select(name), label).withColumn(label, F.col(label).cast("int")) for name, label in ((row, "_r"), (column, "_c")))
     known = lookup(lookup(cells, rows, row), columns, column)
     model = ALS(userCol="_r", itemCol="_c", ratingCol=value, rank=rank, maxIter=rounds, regParam=penalty, seed=seed, coldStartStrategy="nan").fit(
         known.select("_r", "_c", F.col(value).cast("float").alias(value)))

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from serospark.functions import pairs as P
 from serospark.functions import residues as R
@@ -53,21 +53,37 @@ def split_pairs(df: DataFrame, frac: float = 0.2, seed: int = 42, keys: Sequence
 def split_exact(df: DataFrame, frac: float = 0.2, seed: int = 42, keys: Sequence[str] = ("a", "b"), at_least: int = 0) -> DataFrame:
     """Add ``is_test`` with exactly ``max(at_least, int(frac * N))`` test rows.
 
-    A histogram over 65,536 hash ranges finds the range the cut falls into; only that range is
-    ranked. ``keys`` must identify a row.
+    A histogram over 65,536 hash ranges finds the range the cut falls into, a second one over as many
+    parts of that range the part; the few rows of that part are ordered to find the last hash that is
+    in. The split itself is one comparison per row. ``keys`` must identify a row.
     """
     ranges = 65_536
-    spread = df.withColumn("_u", unit_hash(*[F.col(k) for k in keys], seed=seed)).withColumn("_range", fold_of(F.col("_u"), ranges))
-    sizes = {r["_range"]: r["n"] for r in spread.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    left = max(at_least, int(frac * sum(sizes.values())))
-    cut = 0
-    while cut < ranges and left >= sizes.get(cut, 0):
-        left -= sizes.get(cut, 0)
-        cut += 1
-    whole = spread.filter(F.col("_range") != cut).withColumn("is_test", F.col("_range") < cut)
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_u", *keys))
-    edge = spread.filter(F.col("_range") == cut).withColumn("is_test", rank <= left)
-    return whole.unionByName(edge).drop("_u", "_range")
+    values = [F.col(k) for k in keys]
+    # The hash has 32 bits: the range is its upper half, the part its lower half.
+    whole = (unit_hash(*values, seed=seed) * float(1 << 32)).cast("long")
+    hashed = df.select(whole.alias("h"), F.struct(*values).alias("key"))
+    upper, lower = F.shiftright("h", 16), F.col("h").bitwiseAND(ranges - 1)
+
+    def sizes(rows: DataFrame, half: Column) -> list[tuple[int, int]]:
+        return sorted((r["at"], r["n"]) for r in rows.groupBy(half.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def cut(counted: list[tuple[int, int]], left: int) -> tuple[int, int]:
+        """The range in which ``left`` rows run out, and how many of its rows are still in."""
+        for at, n in counted:
+            if left < n:
+                return at, left
+            left -= n
+        return ranges, 0
+
+    counted = sizes(hashed, upper)
+    first, left = cut(counted, max(at_least, int(frac * sum(n for _, n in counted))))
+    second, left = cut(sizes(hashed.filter(upper == first), lower), left)
+    stop = (first << 16) + second
+    test = whole < stop
+    if left:
+        last = hashed.filter(F.col("h") == stop).orderBy("key").limit(left).collect()[-1]["key"]
+        test = test | ((whole == stop) & (F.struct(*values) <= F.struct(*[F.lit(last[k]).alias(k) for k in keys])))
+    return df.withColumn("is_test", test)
 
 
 def split_names(df: DataFrame, frac: float = 0.2, seed: int = 42, name: str = "name") -> DataFrame:
@@ -85,8 +101,8 @@ def split_pairs_by_name(df: DataFrame, frac: float = 0.2, seed: int = 42) -> Dat
 
 
 def kfold(df: DataFrame, k: int = 10, seed: int = 42, keys: Sequence[str] = ("a", "b")) -> DataFrame:
-    """Add ``fold`` 0..k-1."""
-    return df.withColumn("fold", fold_of(unit_hash(*[F.col(c) for c in keys], seed=seed), k))
+    """Add ``fold`` 0..k-1. The hash has a salt of its own: folds do not follow a split of equal seed."""
+    return df.withColumn("fold", fold_of(unit_hash(*[F.col(c) for c in keys], F.lit("fold"), seed=seed), k))
 
 
 def validation_split(df: DataFrame, frac: float = 0.1, seed: int = 7, keys: Sequence[str] = ("a", "b")) -> DataFrame:

@@ -12,19 +12,42 @@ from serospark.operators import pairs as PO
 from serospark.operators import titres as T
 from serospark.plans import adapters as A
 from serospark.plans import oracles as O
-from serospark.plans.pair_queries import SHORT_KEY_SITES, SHORT_REGIONS, pairs, standard_scales
+from serospark.plans.pair_queries import FOLD_HASH, HASH, SHORT_KEY_SITES, SHORT_REGIONS, pairs, standard_scales
 from serospark.plans.registry import query
 from serospark.session import cut_lineage, scratch_path
 
 COUNTS = f"{O.PAIRS}, d AS (SELECT a, b, CAST(hamming(seq_a, seq_b) AS DOUBLE) AS x, dist AS y FROM pairs)"
 
 
+# Settings of the fits below: whole tables, fewer trees, rounds and candidates than the published runs.
+FOLDS = 5
+FOREST = {"trees": 5, "depth": 6}
+SEARCH = {"trees": 2, "depth": 3, "bins": 8}
+GRID = {"depths": (2, 3), "rates": (0.2,), "trees": (3,), "gains": (0.05,)}
+NETWORK = network.Settings(hidden=(32, 16), dropout=(0.0, 0.0), epochs=8, rate=5e-3, batch=64, patience=8)
+MAP = {"restarts": 3, "rounds": 10}
+MDS = {"restarts": 2, "rounds": 10}
+COMPLETION = {"rank": 3, "rounds": 3}
+
+LABELLED = f"labelled AS (SELECT a, b, dist, {HASH} < 0.2 AS is_test, CAST(floor({FOLD_HASH} * {FOLDS}) AS INTEGER) AS fold FROM pairs)"
+
+
 def _stored_pairs(spark, sf_dir) -> DataFrame:
     """Labelled pairs with split and fold, written once for the passes of a fit."""
-    labelled = PO.kfold(PO.split_pairs(pairs(spark, sf_dir)), 2)
+    labelled = PO.kfold(PO.split_pairs(pairs(spark, sf_dir)), FOLDS)
     return cut_lineage(labelled.select("a", "b", "dist", "seq_a", "seq_b", "is_test", "fold"), "pairs")
 
 
+def _training(stored: DataFrame) -> DataFrame:
+    """What a search may see."""
+    return stored.filter("NOT is_test")
+
+
+def _spread(df: DataFrame) -> float:
+    """RMSE of predicting the mean."""
+    return df.agg(F.stddev_pop("dist")).first()[0]
+
+
 def _counted(spark, sf_dir) -> DataFrame:
     out = PO.difference_features(pairs(spark, sf_dir))
     return cut_lineage(out.select("a", "b", "dist", F.array(F.col("n_mutations").cast("double")).alias("features")), "counts")
@@ -44,20 +67,30 @@ def ridge_mutation_count(spark, sf_dir) -> DataFrame:
     return linear.predict(model, data).select("a", "b", F.round("prediction", 5).alias("prediction"))
 
 
-@query("ols_groups")
+@query("ols_groups", f"""WITH {O.PAIRS}, {LABELLED} SELECT grouping, n, 0.0 AS normal_gap
+FROM (SELECT count(*) AS n FROM labelled WHERE is_test), (VALUES {', '.join(f'({g})' for g in GROUPINGS)}) g(grouping)""")
 def ols_groups(spark, sf_dir) -> DataFrame:
-    return linear.ols_by_grouping(_stored_pairs(spark, sf_dir), A.WINDOW, GROUPINGS)
+    """Test rows per grouping, and the residual of the normal equations of its model."""
+    found = linear.ols_by_grouping(_stored_pairs(spark, sf_dir), A.WINDOW, GROUPINGS)
+    return found.select("grouping", "n", F.round("gap", 4).alias("normal_gap"))
+
+
+NAME_HASH = O.unit_hash("name")
 
 
-@query("ridge_coordinates")
+@query("ridge_coordinates", f"""WITH {O.POINTS}, named AS (SELECT name, {NAME_HASH} < 0.2 AS is_test FROM points),
+tests AS (SELECT name FROM named WHERE is_test)
+SELECT target, n, normal_gap FROM (SELECT 'MDS1' AS target, (SELECT count(*) FROM tests) AS n, 0.0 AS normal_gap
+  UNION ALL SELECT 'MDS2', (SELECT count(*) FROM tests), 0.0
+  UNION ALL SELECT 'distance', (SELECT count(*) FROM steps WHERE a < b AND a IN (SELECT name FROM tests) AND b IN (SELECT name FROM tests)), NULL)""")
 def ridge_coordinates(spark, sf_dir) -> DataFrame:
-    """Vectors to two coordinates, split by name; scores of both coordinates and of the distances between points."""
+    """Vectors to two coordinates, split by name: test rows, and the residual of the penalised normal equations."""
     pts = A.points(spark, sf_dir).withColumn("MDS1", F.array_max("point")).withColumn("MDS2", F.aggregate("point", F.lit(0.0), lambda s, x: s + x))
     named = PO.split_names(pts.withColumn("features", F.col("point")), 0.2)
-    train = named.filter("NOT is_test")
-    scaler = N.fit_standard_scaler(train, "features")
+    scaler = N.fit_standard_scaler(named.filter("NOT is_test"), "features")
     scaled = N.apply_standard_scaler(named, scaler, "features")
-    models = linear.fit_ridge(scaled.filter("NOT is_test"), ["MDS1", "MDS2"])
+    train = cut_lineage(scaled.filter("NOT is_test").select("features", "MDS1", "MDS2"), "points")
+    models = linear.fit_ridge(train, ["MDS1", "MDS2"])
     out = linear.predict(models["MDS1"], scaled, out="p1")
     out = cut_lineage(linear.predict(models["MDS2"], out, out="p2").select("name", "is_test", "MDS1", "MDS2", "p1", "p2"), "coordinates")
     test = out.filter("is_test")
@@ -67,92 +100,121 @@ def ridge_coordinates(spark, sf_dir) -> DataFrame:
         "MDS2": M.regression_metrics(test, "MDS2", "p2"),
         "distance": M.distance_scores(test.select("name", F.array("p1", "p2").alias("point")), truth),
     }
-    rows = [df.withColumn("target", F.lit(name)) for name, df in scored.items()]
+    gaps = {name: round(linear.ridge_gap(model, train, name), 4) + 0.0 for name, model in models.items()}
+    rows = [df.select(F.lit(name).alias("target"), "n", F.lit(gaps.get(name)).cast("double").alias("normal_gap")) for name, df in scored.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def _main_features(spark, sf_dir) -> DataFrame:
+def _main_features(spark, df: DataFrame) -> DataFrame:
     cells = N.table_set(N.difference_cells(standard_scales(spark)))[0]
-    return PO.table_features(_stored_pairs(spark, sf_dir), cells, "features")
+    return PO.table_features(df, cells, "features")
 
 
-@query("forest_cv")
+@query("forest_cv", f"WITH {O.PAIRS}, {LABELLED} SELECT fold, count(*) AS n, true AS learns FROM labelled WHERE NOT is_test GROUP BY fold")
 def forest_cv(spark, sf_dir) -> DataFrame:
-    rmse = trees.cross_validated_rmse(_main_features(spark, sf_dir), trees.forest(trees=5, depth=4))
-    return spark.createDataFrame([("hydrophobicity", rmse)], "matrix_name string, rmse double")
+    """Rows of every fold of the training pairs, and whether the forest beats the mean there."""
+    train = _training(_stored_pairs(spark, sf_dir))
+    scores = trees.fold_scores(_main_features(spark, train), trees.forest(**FOREST))
+    mean = _spread(train)
+    return spark.createDataFrame([(f, n, rmse < mean) for f, n, rmse in scores], "fold int, n long, learns boolean")
 
 
-@query("boosted_grid")
+@query("boosted_grid", f"""WITH {O.PAIRS}, {LABELLED} SELECT max_depth, learning_rate, n_trees, min_gain, n, true AS learns
+FROM (SELECT count(*) AS n FROM labelled WHERE NOT is_test), (VALUES {', '.join(f'({d})' for d in GRID["depths"])}) d(max_depth),
+  (VALUES {', '.join(f'({r}::DOUBLE)' for r in GRID["rates"])}) r(learning_rate), (VALUES {', '.join(f'({t})' for t in GRID["trees"])}) t(n_trees),
+  (VALUES {', '.join(f'({g}::DOUBLE)' for g in GRID["gains"])}) g(min_gain)""")
 def boosted_grid(spark, sf_dir) -> DataFrame:
-    """Summary features and site differences; one row per grid point, ranked."""
-    out = PO.mutation_features(_stored_pairs(spark, sf_dir), SHORT_KEY_SITES, SHORT_REGIONS)
+    """Summary features and site differences: one row per grid point, and whether it beats the mean."""
+    train = _training(_stored_pairs(spark, sf_dir))
+    out = PO.mutation_features(train, SHORT_KEY_SITES, SHORT_REGIONS)
     summary = F.array(*[F.col(c).cast("double") for c in PO.SUMMARY_FEATURES])
     data = out.select("dist", "fold", F.concat(F.col("diff").cast("array<double>"), summary).alias("features"))
-    _, table = trees.fit_boosted_grid(data, depths=(2, 3), rates=(0.2,), trees=(3,), gains=(0.05,), folds=2, parallelism=2)
-    return table
+    _, table = trees.fit_boosted_grid(data, **GRID, folds=FOLDS, parallelism=2)
+    return table.select("max_depth", "learning_rate", "n_trees", "min_gain", F.lit(train.count()).alias("n"), (F.col("mse") < _spread(train) ** 2).alias("learns"))
 
 
-@query("matrix_search")
+@query("matrix_search", f"""SELECT stage, n, true AS learns
+FROM (VALUES ('main', {len(SCALES)}), ('aux_0', {len(SCALES) - 1}), ('aux_1', {len(SCALES) - 1})) s(stage, n)""")
 def matrix_search(spark, sf_dir) -> DataFrame:
-    """All three stages over three matrices, then the recorded second-auxiliary rows."""
-    mats = N.difference_cells(standard_scales(spark).filter("prop <> 'charge'"))
-    run = search.MatrixSearch(_stored_pairs(spark, sf_dir), mats, scratch_path(spark, "search"), A.WINDOW, trees=2, depth=3, bins=8)
+    """All three stages over all scales, on training pairs: candidates recorded, and whether all beat the mean."""
+    train = _training(_stored_pairs(spark, sf_dir))
+    mats = N.difference_cells(standard_scales(spark))
+    run = search.MatrixSearch(train, mats, scratch_path(spark, "search"), A.WINDOW, **SEARCH)
     run.run(keep=1)
-    return run.ranked("aux_1", 10)
+    mean = _spread(train)
+    stages = [run.ranked(stage, len(SCALES) ** 2).agg(F.count("rmse").cast("int").alias("n"), (F.max("rmse") < mean).alias("learns")).withColumn("stage", F.lit(stage))
+              for stage in search.STAGES]
+    return stages[0].unionByName(stages[1]).unionByName(stages[2]).select("stage", "n", "learns")
 
 
-@query("site_importance")
+@query("site_importance", f"SELECT CAST(i AS INTEGER) AS site, true AS counted, round(1.0 / 3, 4) AS total FROM range(0, {A.WINDOW}) r(i)")
 def site_importance(spark, sf_dir) -> DataFrame:
-    mats = N.difference_cells(standard_scales(spark))
+    """Every site with its share; the shares add up to one over the three blocks."""
     stored = _stored_pairs(spark, sf_dir)
-    run = search.MatrixSearch(stored, mats, scratch_path(spark, "search"), A.WINDOW, trees=3, depth=4, bins=8)
-    _, _, scores = run.final_model(["hydrophobicity", "volume", "polarity"], stored.filter("NOT is_test"), stored.filter("is_test"), top_sites=20)
-    return scores
-
-
-SMALL = network.Settings(hidden=(32, 16), dropout=(0.0, 0.0), epochs=4, rate=2e-3, patience=3, workers=8)
+    run = search.MatrixSearch(_training(stored), N.difference_cells(standard_scales(spark)), scratch_path(spark, "search"), A.WINDOW, trees=3, depth=4, bins=8)
+    _, _, scores = run.final_model(["hydrophobicity", "volume", "polarity"], _training(stored), stored.filter("is_test"), top_sites=20)
+    importances = run.importances
+    total = importances.agg(F.round(F.sum("importance"), 4).alias("total"))
+    return importances.join(F.broadcast(total)).select("site", F.col("importance").between(0, 1).alias("counted"), "total")
 
 
-@query("fit_mlp")
+@query("fit_mlp", f"WITH {O.PAIRS}, {LABELLED} SELECT count(*) AS n, true AS learns FROM labelled WHERE is_test")
 def fit_mlp(spark, sf_dir) -> DataFrame:
+    """Test rows, and whether the network beats the mean on them."""
     cells = N.difference_cells(standard_scales(spark))
     weights = spark.createDataFrame([(k, 0.25) for k in SCALES], "prop_name string, weight double")
     scalar = N.weighted_table(cells, weights)
     matrix = N.table_set(N.range_scale_cells(cells.filter("prop = 'polarity'")))[0]
     data = _stored_pairs(spark, sf_dir)
-    fitted = network.fit_mlp(data.filter("NOT is_test"), network.CombinedInput(scalar, matrix, A.WINDOW), SMALL, row_key=["a", "b"])
-    return M.regression_metrics(fitted.predict(data.filter("is_test")))
+    fitted = network.fit_mlp(_training(data), network.CombinedInput(scalar, matrix, A.WINDOW), NETWORK, row_key=["a", "b"])
+    test = data.filter("is_test")
+    return M.regression_metrics(fitted.predict(test)).select("n", (F.col("rmse") < _spread(test)).alias("learns"))
 
 
-@query("rank_properties")
+@query("rank_properties", "SELECT CAST(2 AS BIGINT) AS n, 1.0 AS total, true AS known")
 def rank_properties(spark, sf_dir) -> DataFrame:
-    props = standard_scales(spark)
-    tables = N.table_set(N.difference_cells(props))
-    train = _stored_pairs(spark, sf_dir).filter("NOT is_test")
-    weights, _ = network.rank_properties(train, tables, list(SCALES), A.WINDOW, heads=2, retrain_heads=1, top=2, settings=SMALL)
-    return weights
+    """The chosen properties: how many, their weights' sum, and whether they are candidates."""
+    tables = N.table_set(N.difference_cells(standard_scales(spark)))
+    train = _training(_stored_pairs(spark, sf_dir))
+    weights, _ = network.rank_properties(train, tables, list(SCALES), A.WINDOW, heads=2, retrain_heads=1, top=2, settings=NETWORK)
+    return weights.agg(F.count_distinct("prop_name").alias("n"), F.round(F.sum("weight"), 6).alias("total"), F.bool_and(F.col("prop_name").isin(list(SCALES))).alias("known"))
 
 
-@query("fit_map")
+DIRECTED = f"{O.ASSAY}, {O.kinds('assay').replace('least(test, ref)', 'test').replace('greatest(test, ref)', 'ref')}, {O.SUMMARY}"
+
+
+@query("fit_map", f"""WITH {DIRECTED} SELECT DISTINCT name, side, true AS falls
+FROM (SELECT virus_1 AS name, 'ag' AS side FROM merged WHERE kind <> 'missing' UNION ALL SELECT virus_2, 'sr' FROM merged WHERE kind <> 'missing')""")
 def fit_map(spark, sf_dir) -> DataFrame:
+    """Placed names per side, and whether more rounds never raise the stress of the best restart."""
     merged = T.censored_mean(T.canonical_pair(A.assay(spark, sf_dir), directed=True))
-    titres = merged.select(F.col("virus_1").alias("test"), F.col("virus_2").alias("ref"), "titre")
-    return maps.fit_map(titres, restarts=3, rounds=10)
+    titres = cut_lineage(merged.select(F.col("virus_1").alias("test"), F.col("virus_2").alias("ref"), "titre"), "titres")
+    early, late = (maps.fit_map(titres, restarts=MAP["restarts"], rounds=r) for r in (1, MAP["rounds"]))
+    before = early.agg(F.max("stress").alias("before"))
+    return late.join(F.broadcast(before)).select("name", "side", (F.col("stress") <= F.col("before")).alias("falls"))
 
 
-@query("mds")
+@query("mds", f"WITH {O.POINTS} SELECT DISTINCT name, true AS falls FROM (SELECT a AS name FROM steps UNION ALL SELECT b FROM steps)")
 def mds(spark, sf_dir) -> DataFrame:
+    """Placed names, and whether more rounds never raise the stress of the best restart."""
     far = PO.pair_distances(A.point_pairs(spark, sf_dir), A.points(spark, sf_dir))
-    canonical = far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
-    return maps.mds(canonical, restarts=2, rounds=10)
+    canonical = cut_lineage(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist"), "distances")
+    before = maps.mds(canonical, restarts=MDS["restarts"], rounds=1).agg(F.max("stress").alias("before"))
+    late = maps.mds(canonical, **MDS)
+    return late.join(F.broadcast(before)).select("name", (F.col("stress") <= F.col("before")).alias("falls"))
+
+
+VALUE = "CASE WHEN titre LIKE '%<%' THEN TRY_CAST(replace(titre, '<', '') AS DOUBLE) / 2 WHEN titre LIKE '%*%' THEN NULL ELSE TRY_CAST(titre AS DOUBLE) END"
 
 
-@query("complete_matrix")
+@query("complete_matrix", f"""WITH {DIRECTED}, cells AS (SELECT virus_1 AS a, virus_2 AS b, max(log2({VALUE})) OVER () - log2({VALUE}) AS d FROM merged)
+SELECT a, b, round(d, 6) AS known, true AS is_filled FROM cells
+WHERE a IN (SELECT a FROM cells WHERE d IS NOT NULL) AND b IN (SELECT b FROM cells WHERE d IS NOT NULL)""")
 def complete_matrix(spark, sf_dir) -> DataFrame:
-    """Every supplier against every serum that was measured at all; known cells keep their value."""
-    merged = T.titre_distance(T.censored_mean(T.canonical_pair(A.assay(spark, sf_dir), directed=True)))
+    """Every supplier against every serum that was measured at all: known cells keep their value, all are filled."""
+    merged = cut_lineage(T.titre_distance(T.censored_mean(T.canonical_pair(A.assay(spark, sf_dir), directed=True))).select("virus_1", "virus_2", "distance"), "cells")
     cells = merged.filter("distance IS NOT NULL").select(F.col("virus_1").alias("a"), F.col("virus_2").alias("b"), F.col("distance").alias("dist"))
-    fill = maps.complete_matrix(cells, rank=3, rounds=3)
-    wanted = merged.select(F.col("virus_1").alias("a"), F.col("virus_2").alias("b"))
+    fill = maps.complete_matrix(cells, **COMPLETION)
+    wanted = merged.select(F.col("virus_1").alias("a"), F.col("virus_2").alias("b"), "distance")
     known = wanted.join(cells.select("a").distinct(), "a", "left_semi").join(cells.select("b").distinct(), "b", "left_semi")
-    return fill(known)
+    return fill(known).select("a", "b", F.when(F.col("distance").isNotNull(), F.round("filled", 6)).alias("known"), F.expr("filled IS NOT NULL AND NOT isnan(filled)").alias("is_filled"))

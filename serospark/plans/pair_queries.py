@@ -193,6 +193,7 @@ def top_n_slice(spark, sf_dir) -> DataFrame:
 
 
 HASH = O.unit_hash("a || '|' || b")
+FOLD_HASH = O.unit_hash("a || '|' || b || '|fold'")
 
 
 @query("split_pairs", f"WITH {O.PAIRS} SELECT a, b, {HASH} < 0.2 AS is_test FROM pairs")
@@ -220,7 +221,7 @@ def split_names(spark, sf_dir) -> DataFrame:
     return PO.split_pairs_by_name(A.distances(spark, sf_dir)).select("a", "b", "part")
 
 
-@query("kfold", f"WITH {O.PAIRS} SELECT a, b, CAST(floor({HASH} * 10) AS INTEGER) AS fold FROM pairs")
+@query("kfold", f"WITH {O.PAIRS} SELECT a, b, CAST(floor({FOLD_HASH} * 10) AS INTEGER) AS fold FROM pairs")
 def kfold(spark, sf_dir) -> DataFrame:
     return PO.kfold(A.distances(spark, sf_dir)).select("a", "b", "fold")
 

@@ -10,13 +10,7 @@ from serospark.plans import catalogue
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# A choice over all modules; TEST_ALL=1 runs every query. The driver's check covers them all.
-CHOSEN = {
-    "censored_pair_titre", "collapsed_titres", "column_basis_distance", "titre_log_distance", "prune_sparse", "largest_component", "report_rows_later",
-    "best_record", "representative_map", "variable_sites", "glycosylation_sites", "mutation_features", "combined_features", "split_exact", "patch_distances",
-    "zscore_by", "drop_correlated", "fuse_weights", "regression_metrics", "fasta_records", "ledger_pending", "extract_links", "complete_matrix", "ols_groups",
-}
-NAMES = sorted(catalogue.QUERIES if os.environ.get("TEST_ALL") else CHOSEN)
+NAMES = sorted(catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -53,4 +47,4 @@ def test_other_queries_give_rows(spark, name):
 
 
 def test_no_twin_without_a_query():
-    assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and CHOSEN <= set(catalogue.QUERIES)
+    assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
