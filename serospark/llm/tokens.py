@@ -16,8 +16,9 @@ from tokenizers import Tokenizer
 
 from serospark.llm.texts import pieces
 
-# Words kept per worker (some 200 bytes each); the memory starts anew when it is full.
-WORDS_KEPT = 700_000
+# Words kept per worker in each of two generations (some 200 bytes a word). A full generation becomes
+# the older one, from which words in use move on.
+WORDS_KEPT = 550_000
 _ENDS = ".,!?;:"
 _WORD_MAKE = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -56,11 +57,14 @@ class _Words(dict):
     def __init__(self, tokenizer: Tokenizer, limit: int):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.letters = byte_letters()
+        self.letters, self.older = byte_letters(), {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
