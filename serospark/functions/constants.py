@@ -63,3 +63,20 @@ CITY_ABBREVIATIONS = {
 
 # Month names and short forms accepted in report file names.
 MONTHS_SHORT = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# The pattern of a strain name, and the titles of the tables that are read.
+STRAIN_PATTERN = r"A/[^/\n]+/[A-Za-z0-9\-]+/\d{2,4}"
+TABLE_TITLES = (
+    "Antigenic analysis of influenza AH3N2 viruses",
+    "Antigenic analysis of influenza A(H3N2) viruses",
+    "Antigenic analyses of influenza A H3N2 viruses",
+    "Antigenic analysis of influenza A H3N2 viruses",
+    "Antigenic analyses of influenza A(H3N2) viruses",
+)
+
+# Fixed values of the report 2003-dec: the columns of its two pages (counted from 0) and the phrases to drop.
+DECEMBER_COLUMNS = {
+    11: ["A/Panama/2007/99", "A/New York/55/01", "A/Hong Kong/1550/02", "A/Egypt/130/02", "A/Fujian/411/02", "A/Sendai/4952/02", "A/Finland/170/03"],
+    12: ["A/Panama/2007/99", "A/New York/55/01", "A/Egypt/130/02", "A/Fujian/411/02", "A/Finland/170/03", "A/Wyoming/3/03", "A/UK/1861/03"],
+}
+DECEMBER_PHRASES = ("Haemagglutination inhibition titre1 Post infection ferret sera ", " 1 . <40,<4040", " 1. <40,<4040")

@@ -86,17 +86,11 @@ def distance_matrix(distances: DataFrame, max_columns: int = 10_000) -> DataFram
     return distances.groupBy("a").pivot("b", found).agg(F.max("dist"))
 
 
-def read_rules(spark: SparkSession, path: str, max_rules: int = 10_000) -> dict[str, list[tuple[str, str, str]]]:
-    """Text rules per report family from a CSV ``family, ord, kind, find, replacement``."""
-    schema = "family string, ord int, kind string, find string, replacement string"
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Text corrections of single reports from a CSV ``report, ord, kind, find, replacement``."""
+    schema = "report string, ord int, kind string, find string, replacement string"
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "")
-    rows = reader.csv(path).orderBy("family", "ord").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
-    out: dict[str, list[tuple[str, str, str]]] = {}
-    for r in rows:
-        out.setdefault(r["family"], []).append((r["kind"], r["find"], r["replacement"] or ""))
-    return out
+    return reader.csv(path)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
