@@ -50,11 +50,11 @@ def _groups(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(bits)
     padded = np.concatenate([bits, np.ones(60, np.uint8)])
     selector = np.where(bits <= 60, len(SELECTORS), 0).astype(np.uint8)
-    at = None
+    at = None  # where the sparser selector fits
     for s in range(len(SELECTORS) - 1, 0, -1):  # a denser word fits only where the sparser one does
         count, width = SELECTORS[s - 1]
         low = padded <= width
-        if at is None:
+        if at is None or 4 * len(at) > n:
             fits = low[:n].copy()
             for k in range(1, count):
                 fits &= low[k:n + k]

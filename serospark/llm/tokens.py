@@ -11,14 +11,14 @@ import json
 import sys
 import unicodedata
 from array import array
+from itertools import islice
 
 from tokenizers import Tokenizer
 
 from serospark.llm.texts import pieces
 
-# Words kept per worker in each of two generations (some 200 bytes a word). A full generation becomes
-# the older one, from which words in use move on.
-WORDS_KEPT = 550_000
+# Words kept per worker (some 200 bytes a word).
+WORDS_KEPT = 1_100_000
 _ENDS = ".,!?;:"
 _WORD_MAKE = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -52,39 +52,41 @@ def packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """Ids (little-endian unsigned 32-bit) of words, filled on demand."""
+    """Ids (little-endian unsigned 32-bit) of words, filled on demand; when full, the older half goes."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
         super().__init__()
-        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.letters, self.older = byte_letters(), {}
+        self.limit, self.whole = limit, tokenizer.encode
+        self.tokenize = tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word)
+        packed = self.packed
+        if word.isalpha():  # ASCII letters only
+            ids = b"".join([packed[t.id] for t in self.tokenize(word.lower().decode())])
+        else:
+            ids = self.other(word)
         if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
+            for old in list(islice(self, self.limit // 2)):
+                del self[old]
         self[word] = ids
         return ids
 
-    def encode(self, word: bytes) -> bytes:
+    def other(self, word: bytes) -> bytes:
+        """Ids of a word with anything but ASCII letters in it."""
         text = word.decode("utf-8")
         if not text.isalpha():
             base = text.rstrip(_ENDS)
             if base != text and base.isalpha():  # a run of marks after letters is a token group of its own
                 cut = len(word) - (len(text) - len(base))
                 return self[word[:cut]] + self[word[cut:]]
-            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if text.isascii():
-            letters = text.lower()
         else:
             lower = "".join(map(str.lower, text))
-            if not lower.isalpha() or not unicodedata.is_normalized("NFC", text):
-                return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            letters = lower.encode().decode("latin-1").translate(self.letters)
-        return packed([t.id for t in self.model.tokenize(letters)])
+            if lower.isalpha() and unicodedata.is_normalized("NFC", text):
+                letters = lower.encode().decode("latin-1").translate(self.letters)
+                return b"".join([self.packed[t.id] for t in self.tokenize(letters)])
+        return packed(self.whole(text, add_special_tokens=False).ids)
 
 
 class Encoder:
