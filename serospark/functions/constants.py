@@ -80,3 +80,8 @@ DECEMBER_COLUMNS = {
     12: ["A/Panama/2007/99", "A/New York/55/01", "A/Egypt/130/02", "A/Fujian/411/02", "A/Finland/170/03", "A/Wyoming/3/03", "A/UK/1861/03"],
 }
 DECEMBER_PHRASES = ("Haemagglutination inhibition titre1 Post infection ferret sera ", " 1 . <40,<4040", " 1. <40,<4040")
+
+# Month names and the two forms of a period in a file name.
+MONTHS_LONG = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTH_THEN_YEAR = rf"({'|'.join(m for m in MONTHS_LONG if m != 'may')}|sept|{'|'.join(MONTHS_SHORT)})[^0-9]{{0,5}}(\d{{4}})"
+YEAR_THEN_MONTH = rf"(\d{{4}})[^a-z]{{0,5}}({'|'.join(MONTHS_SHORT)})"

@@ -15,6 +15,7 @@ from serospark.functions.constants import AMINO_ACIDS
 from serospark.functions.pairs import total
 from serospark.functions.residues import let
 from serospark.plans.skew import SLICES, lookup, with_group_stats
+from serospark.session import cut_lineage
 
 N = len(AMINO_ACIDS)
 # A set of property tables is turned into one constant; this many fit easily (5,000 x 400 doubles = 16 MB).
@@ -219,8 +220,11 @@ def mean_impute(df: DataFrame, column: str, fitted_on: DataFrame | None = None)
     """Fill null array entries with the site mean of ``fitted_on`` (default ``df``).
 
     Sites without any value vanish from the array, in both tables, as they would in a column imputer.
+    An input that is fitted on itself is written out, so it is worked out once.
     """
-    means = site_means(fitted_on if fitted_on is not None else df, column).filter(F.col("mean").isNotNull())
+    if fitted_on is None:
+        df = fitted_on = cut_lineage(df, "input")
+    means = site_means(fitted_on, column).filter(F.col("mean").isNotNull())
     held = df.withColumn("_means", _by_site(means, "mean"))
     marked = F.transform(F.col(column), lambda v, i: F.struct(F.coalesce(v, F.try_element_at("_means", i)).alias("v"), F.map_contains_key("_means", i).alias("k")))
     filled = F.transform(F.filter(marked, lambda s: s["k"]), lambda s: s["v"])
@@ -245,7 +249,9 @@ def residual_fit(df: DataFrame, main: str, aux: str) -> DataFrame:
 
 def residualise(df: DataFrame, main: str, aux: str, out: str, fitted_on: DataFrame | None = None) -> DataFrame:
     """Add ``out``: per site ``aux`` minus its fit on ``main``; the fit comes from ``fitted_on``."""
-    fit = residual_fit(fitted_on if fitted_on is not None else df, main, aux)
+    if fitted_on is None:
+        df = fitted_on = cut_lineage(df, "input")
+    fit = residual_fit(fitted_on, main, aux)
     held = df.withColumn("_fit", _by_site(fit.withColumn("_c", F.struct("slope", "intercept")), "_c"))
     zipped = F.arrays_zip(F.col(main).alias("x"), F.col(aux).alias("y"))
     residual = F.transform(zipped, lambda c, i: c["y"] - (F.col("_fit")[i]["slope"] * c["x"] + F.col("_fit")[i]["intercept"]))

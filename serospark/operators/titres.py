@@ -20,7 +20,7 @@ def canonical_pair(df: DataFrame, test: str = "test", ref: str = "ref", directed
     """
     a, b = F.col(test), F.col(ref)
     if directed:
-        return df.withColumn("virus_1", F.trim(a)).withColumn("virus_2", F.trim(b))
+        return df.withColumn("virus_1", T.stripped(a)).withColumn("virus_2", T.stripped(b))
     return df.withColumn("virus_1", T.first_of_pair(a, b)).withColumn("virus_2", T.second_of_pair(a, b))
 
 

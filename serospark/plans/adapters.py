@@ -89,7 +89,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         _strain(F.col("doc_id"), F.col("w")).alias("name"),
         F.rpad("seq", WINDOW, "-").alias("seq"),
         F.col("source").alias("file"),
-        (F.col("doc_id") * 100000 + F.col("w")).alias("pos"),
+        (F.col("doc_id") * (1 << 32) + F.col("w")).alias("pos"),
         "doc_id",
         "w",
     )

@@ -197,5 +197,5 @@ def feature_ablation(spark, sf_dir) -> DataFrame:
     item = A.table(spark, sf_dir, "lineitem").withColumn("dist", F.col("l_extendedprice"))
     base, less, more = F.col("l_quantity") * 1000.0, 1 - F.col("l_discount"), 1 + F.col("l_tax")
     sets = {"x0": base, "x0,x1": base * less, "x0,x2": base * more, "x0,x1,x2": base * less * more}
-    out = M.feature_ablation({name: item.select("dist", expr.alias("prediction")) for name, expr in sets.items()})
+    out = M.feature_ablation(item, sets)
     return out.select("feature_set", "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), F.round("pearson", 6).alias("pearson"))

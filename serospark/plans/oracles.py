@@ -37,7 +37,7 @@ WINDOWS = """letters AS (SELECT doc_id, lang, source,
     translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUZ', '-----') AS s FROM documents),
 win AS (SELECT 'A/' || lang || '/' || doc_id || '-' || w || '/' ||
       CASE WHEN doc_id % 2 = 0 THEN CAST(1968 + doc_id % 35 AS VARCHAR) ELSE lpad(CAST(doc_id % 26 AS VARCHAR), 2, '0') END AS name,
-    rpad(substr(s, w * 64 + 1, 64), 64, '-') AS seq, source AS file, doc_id * 100000 + w AS pos, doc_id, CAST(w AS INTEGER) AS w
+    rpad(substr(s, w * 64 + 1, 64), 64, '-') AS seq, source AS file, doc_id * 4294967296 + w AS pos, doc_id, CAST(w AS INTEGER) AS w
   FROM (SELECT *, unnest(range(0, CAST(ceil(length(s) / 64.0) AS BIGINT))) AS w FROM letters))"""
 
 PAIRS = WINDOWS + """,

@@ -32,16 +32,20 @@ def read_sequences(spark: SparkSession, path: str, name: str = "short_name", seq
     return raw.select(quoted(name).alias("name"), quoted(seq).alias("seq"), *file_order())
 
 
-def read_distance_matrix(spark: SparkSession, path: str, max_columns: int = 100_000) -> DataFrame:
-    """Wide CSV with row names to ``(a, b, dist)``."""
-    wide = spark.read.option("header", True).option("maxColumns", max_columns).csv(path)
-    first, *others = wide.columns
-    # Plain names keep the unpivot readable; strain names may hold dots.
-    plain = wide.toDF("a", *[f"c{i}" for i in range(len(others))])
-    long = plain.unpivot(["a"], [f"c{i}" for i in range(len(others))], "_c", "_d")
-    index = F.substring(F.col("_c"), 2, 12).cast("int")
-    names = F.lit(others)
-    return long.select("a", F.element_at(names, index + 1).alias("b"), F.col("_d").cast("double").alias("dist"))
+def read_distance_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """Wide CSV with row names to ``(a, b, dist)``, for any number of columns.
+
+    Lines are read as text and cut in the task, so the plan has one projection however wide the
+    matrix is. The first line holds the column names.
+    """
+    # A field is quoted, with doubled quotes inside, or free of commas.
+    field = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace("value", r"\r$", "")), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = F.transform(field, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    lines = spark.read.text(path).filter("value <> ''").select(plain.alias("f"))
+    head = lines.first()["f"][1:]
+    rows = lines.filter(F.slice("f", 2, len(head)) != F.lit(head)) if head else lines.limit(0)
+    cells = rows.select(F.col("f")[0].alias("a"), F.posexplode(F.slice("f", 2, len(head))).alias("i", "d"))
+    return cells.select("a", F.element_at(F.lit(head), F.col("i") + 1).alias("b"), F.col("d").try_cast("double").alias("dist"))
 
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:

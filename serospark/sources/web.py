@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from serospark.functions.constants import MONTHS_SHORT
+from serospark.functions.constants import MONTH_THEN_YEAR, YEAR_THEN_MONTH
 
-ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"
+ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))"
+# Entities that occur in addresses; numbered ones are read by rule.
+ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"))
+
+
+def unescape_entities(text: Column) -> Column:
+    """Numbered and common named character references as characters, each once."""
+    parts = F.regexp_extract_all(text, F.lit("(?s)(&#x?[0-9A-Fa-f]+;|[^&]+|&)"), F.lit(1))
+
+    def one(part: Column) -> Column:
+        number = F.when(part.rlike("^&#[xX]"), F.conv(F.regexp_extract(part, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(part, "([0-9]+);", 1))
+        code = number.try_cast("int")
+        # Characters up to 255 directly; higher ones by their UTF-16 form.
+        return F.when(part.rlike("^&#x?[0-9A-Fa-f]+;$") & code.isNotNull() & (code > 0) & (code < 65536), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise(part)
+
+    numbered = F.array_join(F.transform(parts, one), "")
+    for name, plain in ENTITIES:
+        numbered = F.replace(numbered, F.lit(name), F.lit(plain))
+    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
+
+
+def folded_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps, however many there are."""
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` on the page ``base``; parent steps are folded up to eight deep."""
+    """Absolute form of ``href`` on the page ``base``."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     page = F.regexp_replace(base, r"[?#].*$", "")
@@ -24,16 +54,21 @@ def resolve_url(base: Column, href: Column) -> Column:
         .when(href.startswith("?"), F.concat(page, href))
         .otherwise(F.concat(folder, href))
     )
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"^([^?#]*?/)(?!\.\./)[^/?#]+/\.\./", "$1")
-    return F.regexp_replace(joined, r"^([^?#]*)/\./", "$1/")
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)(/[^?#]*)(.*)$"
+    start, path, rest = (F.regexp_extract(joined, whole, g) for g in (1, 2, 3))
+    return F.when(joined.rlike(whole), F.concat(start, folded_path(path), rest)).otherwise(joined)
 
 
 def extract_links(pages: DataFrame, suffix: str = ".pdf", html: str = "html", url: str = "url") -> DataFrame:
-    """``(url, position, link)``: anchors whose target ends in ``suffix``, resolved against the page."""
-    found = pages.select(url, F.posexplode_outer(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("position", "href")).filter("href IS NOT NULL")
-    plain = F.replace(F.trim("href"), F.lit("&amp;"), F.lit("&"))
-    kept = found.withColumn("href", plain).filter(F.col("href").endswith(suffix))
+    """``(url, position, link)``: anchors whose target ends in ``suffix``, resolved against the page.
+
+    Targets are quoted in either way or not at all; character references are read.
+    """
+    # Only one of the three groups is filled, so their parts are joined.
+    groups = [F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(g)) for g in (1, 2, 3)]
+    targets = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda t: F.concat(*[F.coalesce(t[f"g{i}"], F.lit("")) for i in range(3)]))
+    found = pages.select(url, F.posexplode_outer(targets).alias("position", "href")).filter("href IS NOT NULL")
+    kept = found.withColumn("href", F.trim(unescape_entities(F.col("href")))).filter(F.col("href").endswith(suffix))
     return kept.select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
 
 
@@ -44,12 +79,8 @@ def report_period(name: Column) -> Column:
     five non-letters by a month.
     """
     lower = F.lower(name)
-    months = "|".join(MONTHS_SHORT)
-    spelled = "january|february|march|april|june|july|august|september|october|november|december|sept|" + months
-    first = rf"({spelled})[^0-9]{{0,5}}(\d{{4}})"
-    second = rf"(\d{{4}})[^a-z]{{0,5}}({months})"
 
     def pick(pattern: str, year: int, month: int) -> Column:
         return F.when(lower.rlike(pattern), F.concat_ws("-", F.regexp_extract(lower, pattern, year), F.substring(F.regexp_extract(lower, pattern, month), 1, 3)))
 
-    return F.coalesce(pick(first, 2, 1), pick(second, 1, 2))
+    return F.coalesce(pick(MONTH_THEN_YEAR, 2, 1), pick(YEAR_THEN_MONTH, 1, 2))

@@ -82,6 +82,14 @@ def test_matrix_names_with_dots(spark, tmp_path, rows):
     assert rows(tables.read_distance_matrix(spark, str(tmp_path / "m.csv"))) == [("a.1", "a.1", 0.0), ("a.1", "b/2", 1.5), ("b/2", "a.1", 1.5), ("b/2", "b/2", 0.0)]
 
 
+def test_matrix_files_of_any_form(spark, tmp_path, rows):
+    (tmp_path / "m.csv").write_bytes(b',"x, ""y""",b\r\n"x, ""y""",0,1e-1\r\nb,NA,\r\n')
+    assert rows(tables.read_distance_matrix(spark, str(tmp_path / "m.csv"))) == [("b", "b", None), ("b", 'x, "y"', None), ('x, "y"', "b", 0.1), ('x, "y"', 'x, "y"', 0.0)]
+    (tmp_path / "wide.csv").write_text("," + ",".join(f"n{i}" for i in range(3000)) + "\n" + "".join(f"n{i}," + ",".join(str(i * j) for j in range(3000)) + "\n" for i in range(5)))
+    wide = tables.read_distance_matrix(spark, str(tmp_path / "wide.csv"))
+    assert wide.count() == 15_000 and wide.filter("a = 'n4' AND b = 'n2999'").first()["dist"] == 4 * 2999
+
+
 def test_ledger_resumes(spark, tmp_path, rows):
     path, schema = str(tmp_path / "ledger"), "name string, rmse double"
     wanted = spark.createDataFrame([("a",), ("b",)], "name string")
@@ -97,6 +105,14 @@ def test_links(spark, rows):
         "http://h.org/a/b/r1.pdf", "http://h.org/top/r2.pdf", "https://o.org/r3.pdf", "http://h.org/a/r5.pdf", "http://c.net/a&b.pdf"]
 
 
+def test_odd_links(spark):
+    deep = "a/" * 12 + "../" * 11
+    html = f'<a href=plain.pdf>1</a><a href="{deep}r.pdf">2</a><a title=x href=\'it&#39;s&#x2F;q&quot;.pdf\'>3</a><a href="/./x/./y/../r.pdf">4</a><a href="../../../../r.pdf">5</a><a href="a&amp;lt;.pdf">6</a>'
+    pages = spark.createDataFrame([("http://h.org/d/p.html", html), ("http://h.org", '<a href="r.pdf">'), (None, None)], "url string, html string")
+    found = [r["link"] for r in web.extract_links(pages).orderBy(F.desc("url"), "position").collect()]
+    assert found == ["http://h.org/d/plain.pdf", "http://h.org/d/a/r.pdf", "http://h.org/d/it's/q\".pdf", "http://h.org/x/r.pdf", "http://h.org/r.pdf", "http://h.org/d/a&lt;.pdf", "http://h.org/r.pdf"]
+
+
 def test_periods(spark):
     names = {
         "Report_September2010.pdf": "2010-sep", "nimr-report-feb-2011-web.pdf": "2011-feb", "2014_sept_who.pdf": "2014-sep",

@@ -122,3 +122,9 @@ def test_components_of_paths_and_hubs(spark, rows):
 def test_equal_components_settle_by_name(spark, rows):
     cells = spark.createDataFrame([("c", "d", "40"), ("a", "b", "40"), ("e", "a", "*")], "virus_1 string, virus_2 string, titre string")
     assert rows(G.largest_component(cells)) == [("a", "b", "40")]
+
+
+def test_names_are_stripped_of_all_white_space(spark, rows):
+    df = spark.createDataFrame([("\tb\u00a0", " a\n", "40 "), ("b", "a", "\u200380")], "test string, ref string, titre string")
+    merged = T.merge_reports(df)
+    assert rows(merged, "virus_1", "virus_2", "titre") == [("a", "b", "60")]
