@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from serospark.llm.texts import pieces
 
 # Words kept per worker (some 200 bytes a word).
-WORDS_KEPT = 1_100_000
+WORDS_KEPT = 600_000
 _ENDS = ".,!?;:"
 _WORD_MAKE = {
     "normalizer": {"type": "Sequence", "normalizers": [
