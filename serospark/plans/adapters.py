@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from serospark.plans.skew import spread
 
 WINDOW = 64
+# Stretches long enough for the whole HA1 slice and all published sites.
+LONG_WINDOW = 361
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,21 +75,21 @@ def _strain(doc: Column, window: Column) -> Column:
     return F.concat_ws("/", F.lit("A"), F.col("lang"), F.concat_ws("-", doc.cast("string"), window.cast("string")), year)
 
 
-def _document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _document_windows(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     residues = F.translate(letters, "BJOUZ", "-----")
     # One regular-expression pass cuts a text of any length; repeated substrings would be quadratic.
     return busy_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text").select(
-        "doc_id", "lang", "source", F.regexp_extract_all(residues, F.lit(f".{{1,{WINDOW}}}"), F.lit(0)).alias("windows"))
+        "doc_id", "lang", "source", F.regexp_extract_all(residues, F.lit(f".{{1,{window}}}"), F.lit(0)).alias("windows"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned sequences: every 64-letter stretch of every document, the last one padded with gaps."""
+def sequences(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
+    """Aligned sequences: every stretch of ``window`` letters of every document, the last one padded with gaps."""
     # Outer, so that the optimizer does not cut every text twice to test for emptiness.
-    cut = _document_windows(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode_outer("windows").alias("w", "seq")).filter("seq IS NOT NULL")
+    cut = _document_windows(spark, sf_dir, window).select("doc_id", "lang", "source", F.posexplode_outer("windows").alias("w", "seq")).filter("seq IS NOT NULL")
     return cut.select(
         _strain(F.col("doc_id"), F.col("w")).alias("name"),
-        F.rpad("seq", WINDOW, "-").alias("seq"),
+        F.rpad("seq", window, "-").alias("seq"),
         F.col("source").alias("file"),
         (F.col("doc_id") * (1 << 32) + F.col("w")).alias("pos"),
         "doc_id",
@@ -95,17 +97,17 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def distances(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """A distance for each stretch and the one after it: an eighth of their edit distance."""
     n = F.size("windows")
-    docs = _document_windows(spark, sf_dir)
+    docs = _document_windows(spark, sf_dir, window)
     behind = F.greatest(n - 1, F.lit(0))
     zipped = F.arrays_zip(F.slice("windows", F.lit(1), behind).alias("x"), F.slice("windows", F.lit(2), behind).alias("y"))
     cut = docs.select("doc_id", "lang", F.posexplode_outer(zipped).alias("w", "c")).filter("c IS NOT NULL")
     return cut.select(
         _strain(F.col("doc_id"), F.col("w")).alias("a"),
         _strain(F.col("doc_id"), F.col("w") + 1).alias("b"),
-        (F.levenshtein(F.rpad("c.x", WINDOW, "-"), F.rpad("c.y", WINDOW, "-")) / 8.0).alias("dist"),
+        (F.levenshtein(F.rpad("c.x", window, "-"), F.rpad("c.y", window, "-")) / 8.0).alias("dist"),
     )
 
 

@@ -44,6 +44,13 @@ PAIRS = WINDOWS + """,
 pairs AS (SELECT x.name AS a, y.name AS b, x.seq AS seq_a, y.seq AS seq_b, levenshtein(x.seq, y.seq) / 8.0 AS dist
   FROM win x JOIN win y ON x.doc_id = y.doc_id AND y.w = x.w + 1)"""
 
+
+
+def long_stretches(sql: str) -> str:
+    """The same tables cut into stretches of 361 letters."""
+    return sql.replace("64.0", "361.0").replace(" 64 ", " 361 ").replace("64)", "361)").replace(" 64,", " 361,")
+
+
 # Sites of a pair table, zero-based.
 SITES = """sites AS (SELECT a, b, dist, CAST(i AS INTEGER) AS site, substr(seq_a, CAST(i + 1 AS INTEGER), 1) AS x, substr(seq_b, CAST(i + 1 AS INTEGER), 1) AS y
   FROM pairs, range(0, 64) r(i))"""

@@ -9,6 +9,7 @@ from serospark.functions.constants import AMINO_ACIDS, EPITOPES, GROUPINGS, KEY_
 from serospark.operators import metrics as M
 from serospark.operators import normalise as N
 from serospark.operators import pairs as PO
+from serospark.operators import sequences as S
 from serospark.plans import adapters as A
 from serospark.plans import oracles as O
 from serospark.plans.registry import query
@@ -149,12 +150,42 @@ def mutation_features(spark, sf_dir) -> DataFrame:
 
 @query("published_sites", f"""WITH {O.PAIRS} SELECT a, b, {_flag(KEY_SITES)} AS key_site_changed, {', '.join(f"{_flag(s)} AS epitope_{n}_changed" for n, s in EPITOPES.items())} FROM pairs""")
 def published_sites(spark, sf_dir) -> DataFrame:
-    """The published site lists; stretches end before them, so every flag is 0 here."""
+    """The published site lists on short stretches: only three sites of one region lie inside them."""
     out = pairs(spark, sf_dir)
     flags = {f"epitope_{n}_changed": c for n, c in P.epitope_changed(F.col("seq_a"), F.col("seq_b")).items()}
     return out.select("a", "b", P.key_site_changed(F.col("seq_a"), F.col("seq_b")).alias("key_site_changed"), *[c.alias(n) for n, c in flags.items()])
 
 
+LONG_PAIRS = f"""{O.long_stretches(O.PAIRS)},
+ha1 AS (SELECT a, b, substr(seq_a, 17, 329) AS seq_a, substr(seq_b, 17, 329) AS seq_b FROM pairs)"""
+
+
+@query("published_sites_long", f"""WITH {LONG_PAIRS}
+SELECT a, b, {_flag(KEY_SITES)} AS key_site_changed, {', '.join(f"{_flag(s)} AS epitope_{n}_changed" for n, s in EPITOPES.items())} FROM ha1""")
+def published_sites_long(spark, sf_dir) -> DataFrame:
+    """All published sites, on the HA1 slice of stretches of 361 letters."""
+    far = A.distances(spark, sf_dir, A.LONG_WINDOW).select("a", "b", "dist")
+    out = PO.labelled_pairs(far, S.ha1_region(A.sequences(spark, sf_dir, A.LONG_WINDOW)), order="pos")
+    flags = {f"epitope_{n}_changed": c for n, c in P.epitope_changed(F.col("seq_a"), F.col("seq_b")).items()}
+    return out.select("a", "b", P.key_site_changed(F.col("seq_a"), F.col("seq_b")).alias("key_site_changed"), *[c.alias(n) for n, c in flags.items()])
+
+
+TWO_MATRICES = {"polarity": 0.7, "volume": 0.3}
+
+
+@query("weighted_matrices", f"""WITH {O.PAIRS}, {O.SITES}, {DIFF_SQL},
+ranges AS (SELECT prop, max(d) - min(d) AS s FROM dif GROUP BY prop),
+wm AS (SELECT x, y, sum(CASE prop {' '.join(f"WHEN '{k}' THEN {w}e0" for k, w in TWO_MATRICES.items())} END * d / s) AS d
+  FROM dif JOIN ranges USING (prop) WHERE prop IN ({', '.join(f"'{k}'" for k in TWO_MATRICES)}) GROUP BY x, y)
+SELECT a, b, round(coalesce(sum(d), 0), 6) AS total FROM sites LEFT JOIN wm USING (x, y) GROUP BY a, b""")
+def weighted_matrices(spark, sf_dir) -> DataFrame:
+    """Two range-scaled matrices, weighted and collapsed to one table."""
+    cells = N.difference_cells(standard_scales(spark)).filter(F.col("prop").isin(list(TWO_MATRICES)))
+    weights = spark.createDataFrame(list(TWO_MATRICES.items()), "prop_name string, weight double")
+    out = PO.table_features(pairs(spark, sf_dir), N.weighted_table(N.range_scale_cells(cells), weights), "x2")
+    return out.select("a", "b", array_sum("x2").alias("total"))
+
+
 def _class_sql(grouping: int, col: str) -> str:
     return "CASE " + " ".join(f"WHEN strpos('{letters}', {col}) > 0 THEN {i}" for i, letters in enumerate(GROUPINGS[grouping])) + " ELSE 9 END"
 

@@ -64,6 +64,12 @@ def region_slice(spark, sf_dir) -> DataFrame:
     return S.drop_gapped(S.ha1_region(A.sequences(spark, sf_dir), 16, 56)).select("name", "seq")
 
 
+@query("ha1_slice", f"WITH {O.long_stretches(O.WINDOWS)} SELECT name, substr(seq, 17, 329) AS seq FROM win WHERE NOT contains(substr(seq, 17, 329), '-')")
+def ha1_slice(spark, sf_dir) -> DataFrame:
+    """The default slice, of stretches of 361 letters."""
+    return S.drop_gapped(S.ha1_region(A.sequences(spark, sf_dir, A.LONG_WINDOW))).select("name", "seq")
+
+
 @query("gap_report", f"WITH {O.WINDOWS} SELECT count(*) FILTER (WHERE NOT contains(seq, '-')) AS n_kept, count(*) FILTER (WHERE contains(seq, '-')) AS n_dropped FROM win")
 def gap_report(spark, sf_dir) -> DataFrame:
     return S.gap_report(A.sequences(spark, sf_dir))
