@@ -187,12 +187,9 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     edges = found.filter("NOT full").select("a", "b")
     crowded = found.filter("full").select(F.col("a").alias("fp")).distinct()
     if not crowded.isEmpty():
-        # Values that share a midpoint at half the bits are linked; a midpoint has at most 2081 of them.
-        half = max_bits // 2
-        keyed = _dealt(crowded.mapInArrow(_midpoints(half), "key long, fp long"))
-        edges = edges.union(keyed.mapInArrow(_link(2 * half, 1 << 12), kinds).select("a", "b"))
-        if max_bits % 2:
-            raise ValueError("crowded keys need an even max_bits")
+        # Values within ``max_bits`` share a value at half of that, rounded up; it has at most 2081 around it.
+        keyed = _dealt(crowded.mapInArrow(_midpoints(-(-max_bits // 2)), "key long, fp long"))
+        edges = edges.union(keyed.mapInArrow(_link(max_bits, 1 << 12), kinds).select("a", "b"))
     return edges.distinct()
 
 

@@ -110,21 +110,21 @@ def test_golay_keys_meet_at_two_errors():
         assert all(any(p ^ e in patterns[s ^ moved] for p in patterns[s]) for s in range(2048))
 
 
-def near_components(values):
+def near_components(values, bits=4):
     label = {v: v for v in values}
     order = sorted(values)
     changed = True
     while changed:
         changed = False
         for a, b in combinations(order, 2):
-            if (a ^ b).bit_count() <= 4 and label[a] != label[b]:
+            if (a ^ b).bit_count() <= bits and label[a] != label[b]:
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
     return label
 
 
-@pytest.mark.parametrize("bucket", [2048, 12])
-def test_links_connect_like_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket, bits", [(2048, 4), (12, 4), (12, 3), (12, 0)])
+def test_links_connect_like_brute_force(spark, bucket, bits):
     rng = np.random.default_rng(3)
     values = set()
     for base in rng.integers(0, 2**63, 12).tolist():
@@ -136,10 +136,10 @@ def test_links_connect_like_brute_force(spark, bucket):
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
     prints = spark.createDataFrame([(v, s) for v, s in ((float(i), s) for i, s in enumerate(signed.values()))], "doc_id double, fp long")
     got = {}
-    for r in prints.join(simhash.classes(prints, bucket=bucket), "fp").collect():
+    for r in prints.join(simhash.classes(prints, max_bits=bits, bucket=bucket), "fp").collect():
         got.setdefault(r["component_id"], set()).add(r["fp"])
     want = {}
-    for v, root in near_components(values).items():
+    for v, root in near_components(values, bits).items():
         want.setdefault(root, set()).add(signed[v])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
