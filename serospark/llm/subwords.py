@@ -187,7 +187,9 @@ def train(texts: list[str], labels: list, dims: int = 8, steps: int = 90_000, ep
     for ids, _ in bags:
         seen[ids] += 1
     common = seen >= min(least, max(1, len(texts) // 30))
-    bags = [(ids[common[ids]], part[common[ids]]) for ids, part in bags]
+    for i, (ids, part) in enumerate(bags):  # one by one: two whole sets of bags need not be held
+        kept = common[ids]
+        bags[i] = ids[kept], part[kept]
     table = rng.uniform(-1 / dims, 1 / dims, (1 << bits, dims)).astype(np.float32)
     table[~common] = 0
     weights = rng.uniform(-0.1, 0.1, (dims, len(classes))).astype(np.float32)
