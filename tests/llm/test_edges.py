@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from serospark.llm import chat, components, decontaminate, golay, langid, packing, pii, simhash, sketches, subwords, texts, tokenids, tokens, toxicity, urlfilter
+import corpus_pipeline
+from serospark.llm import chat, components, decontaminate, golay, langid, packing, pii, resembling, simhash, sketches, subwords, texts, tokenids, tokens, toxicity, urlfilter
 from serospark.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -165,6 +166,32 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_pipeline_keeps_one_of_resembling_texts(spark, docs, empty, bucket):
+    """All pairs of five-word Jaccard 0.8 or more are found, and no others are linked: brute force over edited copies."""
+    rng, made = np.random.default_rng(8), []
+    for base in range(12):
+        words = [f"b{base}w{i}" for i in range(90)] + [f"common{i}" for i in range(30)]
+        for _ in range(25):
+            own = list(words)
+            for at in rng.integers(0, len(own), rng.integers(0, 6)).tolist():
+                own[at] = f"edit{rng.integers(10**9)}"
+            made.append(" ".join(own))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in made]
+    root = list(range(len(made)))
+    for a, b in combinations(range(len(made)), 2):
+        if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in resembling.keep_one(frame, bucket).collect())
+    assert got == sorted(set(root)) and 12 < len(got) < len(made)
+    if bucket == 64:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == got
+    kept = resembling.keep_one(docs, bucket)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "6", "7", "None"]
+    assert resembling.keep_one(empty, bucket).count() == 0
+
+
 def test_personal_data_forms():
     spans = lambda t: [t[s:e] for s, e, _ in pii.base_spans(t)]
     assert spans("a@b.c@d.e f@@g.h x.@y-.z. a@b.") == ["a@b.c", "x.@y-.z"]
