@@ -1,11 +1,13 @@
 """Personal data: exact forms as seeds, and bootstrapped contextual extraction of identifiers beyond them.
 
-1. One pass over the texts marks the base forms (email, ip, card, phone) and other identifier-like
-   words, each with the lexical patterns around it: the two words before, the two after, one of each.
+1. One pass over the texts marks the base forms (email, ip, card, phone), other identifier-like words,
+   runs of digit groups and spelt-out addresses, each with the lexical patterns around the whole of it:
+   the two words before, the two after, one of each.
 2. Patterns and instances are a bipartite graph. Base instances believe in their kind; in rounds, a
    pattern's score for a kind is the smoothed share of belief among its instances, and an unlabelled
    instance's belief is that of its best patterns.
-3. Identifiers under a pattern with a high score are spans of its kind. Base spans always stay.
+3. Identifiers under a pattern with a high score are spans of its kind. Base spans always stay. Of a
+   run or address and the words in it the former goes first.
 
 Only marks, which are few bytes per document, are shuffled; texts are read once.
 """
@@ -46,6 +48,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _REST = re.compile(r"\S*")
 _DIGIT = re.compile(r"[0-9]")
+# Digit groups with a separator between neighbours on one line; possessive, so that a long run is read once.
+_GAP = r"[\x20\t\xa0\u2009\u202f]"
+_GROUPED = re.compile(rf"(?<![0-9])\+?\(?(?<![0-9])[0-9]++(?:(?:{_GAP}?[-/\u2010-\u2013]{_GAP}?|\.|{_GAP}?\(|\){_GAP}?[-./]?{_GAP}?|{_GAP}{{1,2}}\(?)[0-9]++)+")
+# What follows the name in ``name at host dot com``, ``name (at) host.com`` and the like.
+_SPELT = re.compile(
+    r"(?:[\x20\t]+at[\x20\t]+[a-z0-9-]{1,63}(?:[\x20\t]+dot[\x20\t]+|[\x20\t]?[(\[{]dot[)\]}][\x20\t]?)[a-z0-9-]{1,63}"
+    r"|[\x20\t]?[(\[{]at[)\]}][\x20\t]?[a-z0-9-]{1,63}(?:[\x20\t]+dot[\x20\t]+|[\x20\t]?[(\[{]dot[)\]}][\x20\t]?|\.)[a-z0-9-]{1,63})"
+    r"(?:(?:[\x20\t]+dot[\x20\t]+|[\x20\t]?[(\[{]dot[)\]}][\x20\t]?|\.)[a-z0-9-]{1,63})*", re.IGNORECASE | re.ASCII)
+_AT = re.compile(r"[\x20\t(\[{]at[\x20\t)\]}]", re.IGNORECASE)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -97,10 +108,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def _identifiers(text: str, base: list[tuple[int, int, int]], how: Bootstrap) -> Iterator[tuple[int, int]]:
-    """Words with a digit or ``@`` of fitting length, without marks at their ends, that touch no base span."""
+def _wholes(text: str, base: list[tuple[int, int, int]], how: Bootstrap) -> list[tuple[int, int]]:
+    """Runs of digit groups and spelt-out addresses of fitting length between base spans, sorted, without overlap.
+
+    A run is as long as possible, to the ends of the words it begins and ends in, with a plus or bracket before it.
+    """
+    found, low = [], 0
+    spelt = _AT.search(text) is not None
+    for start, stop, _ in [*sorted(base), (len(text), len(text), 0)]:
+        if start > low:
+            for match in _GROUPED.finditer(text, low, start):
+                s, e = match.span()
+                if e - s <= how.longest and len(_digits(match[0])) >= how.shortest:
+                    while s > low and text[s].isdigit() and text[s - 1].isalnum() and e - s <= how.longest:
+                        s -= 1
+                    while e < start and text[e].isalnum() and e - s <= how.longest:
+                        e += 1
+                    found.append((s, e))
+            for match in _SPELT.finditer(text, low, start) if spelt else ():
+                s, e = match.span()
+                while s > low and text[s - 1] in _LOCAL and e - s <= how.longest:
+                    s -= 1
+                if s < match.start():
+                    found.append((s, e))
+        low = max(low, stop)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            s, last = out.pop()
+            e = max(e, last)
+        out.append((s, e))
+    return [(s, e) for s, e in out if how.shortest <= e - s <= how.longest]
+
+
+def _identifiers(text: str, base: list[tuple[int, int, int]], how: Bootstrap) -> Iterator[tuple[int, int, int, bool]]:
+    """``(start, end, group, whole)`` of identifiers of fitting length that touch no base span.
+
+    They are the ``_wholes`` and the words with a digit or ``@``, without marks at their ends. A word that
+    touches one of the former has its start as group and isn't whole; all others are groups of their own.
+    """
+    wholes = _wholes(text, base, how)
+    yield from ((s, e, s, True) for s, e in wholes)
     taken, hint, done = sorted((s, e) for s, e, _ in base), _HINT.search(text), 0
-    place = 0
+    place = near = 0
     while hint:
         start = hint.start()
         while start > done and not text[start - 1].isspace():
@@ -112,8 +162,14 @@ def _identifiers(text: str, base: list[tuple[int, int, int]], how: Bootstrap) ->
             end -= 1
         while place < len(taken) and taken[place][1] <= start:
             place += 1
+        while near < len(wholes) and wholes[near][1] <= start:
+            near += 1
         if how.shortest <= end - start <= how.longest and not any(s < end and start < e for s, e in taken[place:place + 8]):
-            yield start, end
+            inside = near < len(wholes) and wholes[near][0] < end
+            if not inside:
+                yield start, end, start, True
+            elif (start, end) != wholes[near]:
+                yield start, end, wholes[near][0], False
         hint = _HINT.search(text, done)
 
 
@@ -138,9 +194,9 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 _SPAN = "struct<start:int,stop:int,kind:int>"
-_MARK = "struct<start:int,stop:int,kind:int,instance:string,patterns:array<string>>"
+_MARK = "struct<start:int,stop:int,kind:int,instance:string,patterns:array<string>,group:int,whole:boolean>"
 _SPAN_TYPE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32())])
-_MARK_TYPE = pa.struct([*_SPAN_TYPE, ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_MARK_TYPE = pa.struct([*_SPAN_TYPE, ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("group", pa.int32()), ("whole", pa.bool_())])
 
 
 def _mark(columns: int, how: Bootstrap):
@@ -150,11 +206,11 @@ def _mark(columns: int, how: Bootstrap):
             for value in batch.column(columns):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                others = [(s, e, None) for s, e in _identifiers(text, base, how)]
+                others = [(s, e, None, group, whole) for s, e, group, whole in _identifiers(text, base, how)]
                 bases.append([{"start": s, "stop": e, "kind": k} for s, e, k in base])
                 marks.append([
-                    {"start": s, "stop": e, "kind": k, "instance": text[s:e].lower()[:200], "patterns": _patterns(text, s, e)}
-                    for s, e, k in [*base, *others]])
+                    {"start": s, "stop": e, "kind": k, "instance": text[s:e].lower()[:200], "patterns": _patterns(text, s, e), "group": group, "whole": whole}
+                    for s, e, k, group, whole in [*((s, e, k, s, True) for s, e, k in base), *others]])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:columns], pa.array(bases, pa.list_(_SPAN_TYPE)), pa.array(marks, pa.list_(_MARK_TYPE))],
                 names=[*batch.schema.names[:columns], "base", "marks"])
@@ -197,12 +253,19 @@ def score_patterns(marks: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
 
 
 def discovered(marks: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``(row, found)``: spans of unlabelled identifiers under an accepted pattern, for rows that have some."""
+    """``(row, found)``: spans of unlabelled identifiers under an accepted pattern, for rows that have some.
+
+    Of a group that was found as a whole only that span is listed.
+    """
     open_marks = marks.select("row", F.explode(F.filter("marks", lambda m: m["kind"].isNull())).alias("m"))
-    places = open_marks.select("row", "m.start", "m.stop", F.explode("m.patterns").alias("pattern"))
+    places = open_marks.select("row", "m.start", "m.stop", "m.group", "m.whole", F.explode("m.patterns").alias("pattern"))
     told = salted_lookup(places, accepted.select("pattern", F.struct("score", "kind").alias("best")), "pattern", ["row", "start"]).filter("best IS NOT NULL")
-    best = told.groupBy("row", "start", "stop").agg(F.max("best").alias("best"))
-    return best.groupBy("row").agg(F.collect_list(F.struct("start", "stop", F.col("best.kind").alias("kind"))).alias("found"))
+    best = told.groupBy("row", "start", "stop", "group", "whole").agg(F.max("best").alias("best"))
+    span = F.struct("start", "stop", F.col("best.kind").alias("kind"))
+    grouped = best.groupBy("row", "group").agg(
+        F.collect_list(F.when(F.col("whole"), span)).alias("whole"), F.collect_list(F.when(~F.col("whole"), span)).alias("parts"))
+    chosen = F.when(F.size("whole") > 0, F.col("whole")).otherwise(F.col("parts"))
+    return grouped.groupBy("row").agg(F.flatten(F.collect_list(chosen)).alias("found"))
 
 
 def find(documents: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:

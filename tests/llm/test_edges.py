@@ -218,6 +218,26 @@ def test_contexts_discover_unseen_identifiers(spark, docs, empty):
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_grouped_and_spelt_out_identifiers_are_masked_in_full(spark):
+    """Numbers in groups and spelt-out addresses are candidates as a whole, and no part of them stays."""
+    cut = lambda t: [t[s:e] for s, e, _, whole in pii._identifiers(t, pii.base_spans(t), pii.Bootstrap()) if whole]
+    assert cut("call 020 7946 0958, or (487) 555-7209. Page 3 - 4, in 1999. 20 were 4111 1111 1111 1112!") == [
+        "020 7946 0958", "(487) 555-7209", "4111 1111 1111 1112"]
+    assert cut("ask jane.doe at host dot com or al (at) sub.host.org, look at the dot") == ["jane.doe at host dot com", "al (at) sub.host.org"]
+    assert cut("1.2.3.4 020 7946 0958 a@b.co") == ["020 7946 0958"] and cut("1 " * 100_000) == [] and cut("1" * 200_000 + " 2") == []
+    phone, card, mail = "my direct telephone line {} before the next noon", "then charge card number {} for the whole sum", "please write to mailbox {} every single day"
+    lines = [(i, phone.format(f"+1 (979) 555-{1000 + i}")) for i in range(20)]
+    lines += [(20 + i, mail.format(f"user{i}@example.com")) for i in range(20)]
+    lines += [(40 + i, card.format(c)) for i, c in enumerate(
+        str(n) for n in range(4111111111110000, 4111111111110200) if pii._luhn(str(n)))]
+    lines += [(100, phone.format("020 7946 0958")), (101, phone.format("(487) 555-7209")), (102, card.format("4111 1111 1111 1112")), (103, mail.format("name at host dot com")),
+              (104, "there were 020 7946 0958 of them")]
+    frame = spark.createDataFrame(lines, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert [clean[i] for i in range(100, 105)] == [phone.format("[PHONE]"), phone.format("[PHONE]"), card.format("[CARD]"), mail.format("[EMAIL]"), lines[-1][1]]
+    assert all(len(r["spans"]) == 1 for r in pii.find(frame).filter("doc_id < 104").collect())
+
+
 def test_subword_model_learns_and_shares_grams():
     rng = np.random.default_rng(0)
     filler = [f"{a}{b}" for a in ("lo", "mi", "ta", "ne", "ru") for b in ("ran", "tis", "vek", "pol")]
