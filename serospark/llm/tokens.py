@@ -16,6 +16,7 @@ from itertools import islice
 from tokenizers import Tokenizer
 
 from serospark.llm.texts import pieces
+from serospark.llm.workers import remembered
 
 # Words kept per worker (some 200 bytes a word).
 WORDS_KEPT = 600_000
@@ -103,11 +104,6 @@ class Encoder:
         return b"".join(b"".join(map(look, p.split())) for p in pieces(text))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file; tasks that follow each other share its words."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return remembered(("encoder", path), lambda: Encoder(path))
