@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serospark.llm import chat, decontaminate, langid, packing, pii, simhash, sketches, tokenids, toxicity, urlfilter
+from serospark.llm import (
+    boilerplate, chat, decontaminate, langid, packing, pii, repair, simhash, sketches, tokenids, toxicity, urlfilter, vectorcodes)
+from serospark.llm.common import counted_lookup
 from serospark.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +195,106 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in range(len(pii.KINDS))], F.sha2(pii.listed_spans(F.col("base")), 256).alias("base_sha256"),
         pii.listed_spans(F.col("spans")).alias("spans"))
+
+
+@query("op11_html_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boilerplate.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+VECTOR_SQL = r"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, j, v[4*j+1] AS a, v[4*j+2] AS b, v[4*j+3] AS c, v[4*j+4] AS d FROM kept, (SELECT unnest(range(16)) AS j)),
+book0 AS MATERIALIZED (SELECT j, e, a, b, c, d FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+near0 AS MATERIALIZED (SELECT p.vec_id, p.j, min(((p.a-k.a)**2 + (p.b-k.b)**2 + (p.c-k.c)**2 + (p.d-k.d)**2)::BIGINT * 64 + e) AS m FROM parts p JOIN book0 k USING (j) GROUP BY ALL),
+mean0 AS (SELECT j, m % 64 AS e, floor(sum(a)::DOUBLE / count(*))::BIGINT AS a, floor(sum(b)::DOUBLE / count(*))::BIGINT AS b,
+    floor(sum(c)::DOUBLE / count(*))::BIGINT AS c, floor(sum(d)::DOUBLE / count(*))::BIGINT AS d FROM parts JOIN near0 USING (vec_id, j) GROUP BY ALL),
+book1 AS MATERIALIZED (SELECT j, e, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b, coalesce(n.c, o.c) AS c, coalesce(n.d, o.d) AS d FROM book0 o LEFT JOIN mean0 n USING (j, e)),
+near1 AS MATERIALIZED (SELECT p.vec_id, p.j, min(((p.a-k.a)**2 + (p.b-k.b)**2 + (p.c-k.c)**2 + (p.d-k.d)**2)::BIGINT * 64 + e) AS m FROM parts p JOIN book1 k USING (j) GROUP BY ALL),
+mean1 AS (SELECT j, m % 64 AS e, floor(sum(a)::DOUBLE / count(*))::BIGINT AS a, floor(sum(b)::DOUBLE / count(*))::BIGINT AS b,
+    floor(sum(c)::DOUBLE / count(*))::BIGINT AS c, floor(sum(d)::DOUBLE / count(*))::BIGINT AS d FROM parts JOIN near1 USING (vec_id, j) GROUP BY ALL),
+book2 AS MATERIALIZED (SELECT j, e, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b, coalesce(n.c, o.c) AS c, coalesce(n.d, o.d) AS d FROM book1 o LEFT JOIN mean1 n USING (j, e)),
+near2 AS MATERIALIZED (SELECT p.vec_id, p.j, min(((p.a-k.a)**2 + (p.b-k.b)**2 + (p.c-k.c)**2 + (p.d-k.d)**2)::BIGINT * 64 + e) AS m FROM parts p JOIN book2 k USING (j) GROUP BY ALL),
+coded AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex(m % 64), 2, '0')), '' ORDER BY j) AS code, sum(m // 64)::BIGINT AS error
+    FROM near2 JOIN kept USING (vec_id) GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY j, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+@query("op12_vector_codes", VECTOR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.encode(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    rows = cut_lineage(coded.rows.withColumn("class", F.struct(F.col("label").isNull().alias("none"), F.coalesce("label", F.lit(0)).alias("of"))), "codes")
+    labels = rows.groupBy("class").agg(F.sum("error").alias("label_error"))
+    return counted_lookup(rows, labels, "class").select(
+        F.col("id").alias("vec_id"), vectorcodes.code_text(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(vectorcodes.codebooks_digest(coded.codebooks)).alias("codebooks_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of conversations as the repair query damages them; nulls are one space."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind, role, text = F.crc32(key) % 20, F.coalesce("role", blank), F.coalesce("text", blank)
+    rows = conversations.select("conv_id", "turn", kind.alias("kind"), role.alias("role"), text.alias("text")).filter("kind <> 0")
+    changed = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    twice = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"), twice.alias("_copy")).drop("_copy")
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM (SELECT unnest(range(256)) AS i))),
+named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind FROM named, bits),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE r END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown, left(role, 1) AS o FROM damaged),
+faults AS (SELECT *, shown = '' AS blank, shown <> '' AND again > 1 AS dup, shown <> '' AND again = 1 AND right(shown, 1) NOT IN ('.', '!', '?') AS cut,
+    lag(o) OVER (PARTITION BY conv_id ORDER BY i) AS po FROM placed),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND po || o NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+-- Best ways to finish from rows i on, per state: eight digits of cost, then the edits. g0..g3 may insert first.
+best AS (SELECT conv_id, n AS i, '00000000' AS g0, '00000004II' AS g1, '00000002I' AS g2, '00000000' AS g3 FROM stats
+  UNION ALL SELECT conv_id, i - 1, least(n0, up2 || substr(n2, 9), up3 || substr(n3, 9)), least(n1, lpad(CAST(CAST(left(n2, 8) AS INT) + 2 AS VARCHAR), 8, '0') || 'I' || substr(n2, 9), up3 || substr(n3, 9)),
+    least(n2, lpad(CAST(CAST(left(n3, 8) AS INT) + 2 AS VARCHAR), 8, '0') || 'I' || substr(n3, 9), lpad(CAST(CAST(left(n2, 8) AS INT) + 4 AS VARCHAR), 8, '0') || 'II' || substr(n2, 9)),
+    least(n3, lpad(CAST(CAST(left(n2, 8) AS INT) + 2 AS VARCHAR), 8, '0') || 'I' || substr(n2, 9), up3 || substr(n3, 9))
+  FROM (SELECT *, lpad(CAST(CAST(left(n2, 8) AS INT) + 2 AS VARCHAR), 8, '0') || 'I' AS up2, lpad(CAST(CAST(left(n3, 8) AS INT) + 4 AS VARCHAR), 8, '0') || 'II' AS up3 FROM (
+    SELECT conv_id, i, least(d0, CASE WHEN ok AND o = 's' THEN k || substr(g1, 9) END, CASE WHEN ok AND o = 'u' THEN k2 || substr(g2, 9) END, CASE WHEN ok THEN r2 || substr(g2, 9) END) AS n0,
+      least(d1, CASE WHEN ok AND o = 'u' THEN k2 || substr(g2, 9) END, CASE WHEN ok THEN r2 || substr(g2, 9) END) AS n1,
+      least(d2, CASE WHEN ok AND o = 'a' THEN k3 || substr(g3, 9) END, CASE WHEN ok THEN r3 || substr(g3, 9) END) AS n2,
+      least(d3, CASE WHEN ok AND o = 'u' THEN k2 || substr(g2, 9) END, CASE WHEN ok THEN r2 || substr(g2, 9) END) AS n3
+    FROM (SELECT b.*, f.o, NOT f.blank AND NOT f.dup AS ok,
+        lpad(CAST(CAST(left(g0, 8) AS INT) + 3 AS VARCHAR), 8, '0') || 'D' || substr(g0, 9) AS d0, lpad(CAST(CAST(left(g1, 8) AS INT) + 3 AS VARCHAR), 8, '0') || 'D' || substr(g1, 9) AS d1,
+        lpad(CAST(CAST(left(g2, 8) AS INT) + 3 AS VARCHAR), 8, '0') || 'D' || substr(g2, 9) AS d2, lpad(CAST(CAST(left(g3, 8) AS INT) + 3 AS VARCHAR), 8, '0') || 'D' || substr(g3, 9) AS d3,
+        lpad(CAST(CAST(left(g1, 8) AS INT) + CAST(f.cut AS INT) AS VARCHAR), 8, '0') || 'K' AS k, lpad(CAST(CAST(left(g2, 8) AS INT) + CAST(f.cut AS INT) AS VARCHAR), 8, '0') || 'K' AS k2,
+        lpad(CAST(CAST(left(g3, 8) AS INT) + CAST(f.cut AS INT) AS VARCHAR), 8, '0') || 'K' AS k3, lpad(CAST(CAST(left(g2, 8) AS INT) + 2 + CAST(f.cut AS INT) AS VARCHAR), 8, '0') || 'R' AS r2,
+        lpad(CAST(CAST(left(g3, 8) AS INT) + 2 + CAST(f.cut AS INT) AS VARCHAR), 8, '0') || 'R' AS r3
+      FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i)))),
+found AS (SELECT conv_id, CAST(left(g0, 8) AS BIGINT) AS cost, substr(g0, 9) AS audit FROM best WHERE i = 0),
+edits AS (SELECT conv_id, p, substr(audit, p, 1) AS e, count(*) FILTER (WHERE substr(audit, p, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i,
+    count(*) FILTER (WHERE substr(audit, p, 1) <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS out FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM found)),
+made AS (SELECT e.*, f.role, f.text, f.o, max(CASE WHEN out = 1 AND e = 'K' AND f.o = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS sys
+    FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i),
+lines AS (SELECT conv_id, p, CASE WHEN e = 'K' THEN role WHEN (out - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM made WHERE e <> 'D'),
+joined AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS repaired FROM lines GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    rows = every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

@@ -16,7 +16,7 @@ import corpus_pipeline
 from serospark.llm import queries
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
