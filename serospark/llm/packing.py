@@ -189,20 +189,28 @@ def plan_table(runs: list[Run]) -> dict[str, np.ndarray]:
 def cut_pieces(path: str, capacity: int, end_id: int):
     """Arrow batches of ``(doc_id, text)`` to pieces, numbered per length within the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = encoder(path).ids, TaskContext.get().partitionId()
-        end, seen = end_id.to_bytes(4, "little"), np.zeros(capacity + 1, np.int64).tolist()
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = memoryview(ids_of(text.as_py() or b"") + end)
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    own = ids[4 * start:4 * (start + capacity)]
-                    length = len(own) // 4
-                    rows.append((doc_id, piece, start, length, zlib.crc32(own), part, seen[length]))
-                    seen[length] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            ids, sizes = encoder(path).closed(batch.column(1), end_id)
+            count = -(-sizes // capacity)  # pieces of each document
+            owner = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[owner] - start)
+            begin = (np.cumsum(sizes) - sizes)[owner] + start
+            raw = memoryview(ids.astype("<u4").tobytes())
+            crcs = [zlib.crc32(raw[4 * b:4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
+            # Ranks go on per length: the place among equal lengths of the batch, after those seen before.
+            order = np.argsort(length, kind="stable")
+            firsts = np.searchsorted(length[order], length[order])
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - firsts
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()),
+                 pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], names=names)
     return run
 
 

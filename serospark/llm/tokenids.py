@@ -142,30 +142,28 @@ def decode_ids(words: bytes, offsets: list[int], escapes: list[int], n_ids: int)
 def encode_partition(path: str, end_id: int):
     """Arrow batches of ``(doc_id, text)`` to rows of ``BLOCKS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = encoder(path).ids, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         names = [f.split()[0] for f in BLOCKS.split(", ")]
-        end = np.array([end_id], "<u4").tobytes()
-        docs, parts, held, block, start = [], [], 0, 0, 0
+        docs, sizes, ids, block, start = [], np.zeros(0, np.int64), np.zeros(0, np.uint32), 0, 0
 
-        def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            words, offsets, escapes = encode_ids(ids)
-            row = (part, block, start, len(ids), docs, [len(p) // 4 for p in parts], words, offsets, escapes)
+        def flush(n: int) -> pa.RecordBatch:
+            size = int(sizes[:n].sum())
+            words, offsets, escapes = encode_ids(ids[:size])
+            row = (part, block, start, size, docs[:n], sizes[:n].tolist(), words, offsets, escapes)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                ids = ids_of(text.as_py() or b"") + end
-                docs.append(doc_id)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    start, block, docs, parts, held = start + held, block + 1, [], [], 0
+            own, counts = encoder(path).closed(batch.column(1), end_id)
+            docs, sizes, ids = docs + batch.column(0).to_pylist(), np.concatenate([sizes, counts]), np.concatenate([ids, own])
+            ends = np.cumsum(sizes)
+            while len(ends) and ends[-1] >= BLOCK_IDS:
+                n = int(np.searchsorted(ends, BLOCK_IDS)) + 1
+                size = int(ends[n - 1])
+                yield flush(n)
+                start, block, docs, sizes, ids, ends = start + size, block + 1, docs[n:], sizes[n:], ids[size:], ends[n:] - size
         if docs:
-            yield flush()
+            yield flush(len(docs))
     return run
 
 

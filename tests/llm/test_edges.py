@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,15 +40,19 @@ def test_words_of_long_texts():
 
 
 def test_encoder_equals_the_tokenizer():
-    encoder = tokens.Encoder(TOKENIZER, words_kept=50)
     odd = [
         "", "  ", "don't I'll A.B c;d x<|endoftext|>y E\u0301 \u0130stanbul ΟΔΟΣ \x1c\x1da b\xa0c\x85d …", "ß ŒUVRE!!! ?? a.,b 12ab34 ǅ ﬁ",
-        "\U0001F600 x <|startoftext|> end.", "a\u0301\u0323 \u0323x", *[t for _, t in ROWS if t and len(t) < 1000]]
-    for text in odd:
-        assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
-    other = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert other.words is None
-    assert np.frombuffer(other.ids(b"plain text, here"), "<u4").tolist() == other.tokenizer.encode("plain text, here", add_special_tokens=False).ids
+        "\U0001F600 x <|startoftext|> <|ENDOFTEXT|> a<|endoftext|>. end.", "a\u0301\u0323 \u0323x J\u030c \u01f0", "It's' (so'). x's, 's. A%%% b&&&; É***",
+        None, LONG[:5000], *[t for _, t in ROWS if t and len(t) < 1000]]
+    for path, cut in ((TOKENIZER, 1 << 20), (TOKENIZER, 90), (public_tokenizers.path("byte_bpe_50k.json"), 90)):
+        encoder = tokens.Encoder(path, words_kept=50, slice_bytes=cut)
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
+        ids, sizes = encoder.batch(pa.array(odd))
+        assert (encoder.words is None) == (path != TOKENIZER)
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        closed, sizes = encoder.closed(pa.array(odd), 1)
+        assert closed.tolist() == [i for w in want for i in [*w, 1]] and sizes.tolist() == [len(w) + 1 for w in want]
+        assert [len(a) for a in encoder.batch(pa.array([], pa.string()))] == [0, 0]
 
 
 @pytest.mark.parametrize("high", [1, 2, 50, 49_408, 2**31, 2**60, 2**63])
