@@ -15,7 +15,7 @@ its fingerprints meet others at the midpoints instead (all values at two bits or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, permutations, product
 
 import numpy as np
@@ -38,21 +38,33 @@ BUCKET = 2048
 _SHINGLES = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of the word shingles of a text (UTF-8): a bit is 1 if over half the shingle hashes set it."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text (UTF-8, A-Z put in lower case), repeats included, in portions; none of a blank text."""
     spaced = single_spaced(text.lower())
     if not spaced:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(spaced))
     last = max(0, len(starts) - words)
     starts, ends = starts[:last + 1], ends[-(last + 1):]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _SHINGLES):
         spans = zip(starts[at:at + _SHINGLES].tolist(), ends[at:at + _SHINGLES].tolist())
-        hashes = np.array([digest(spaced[a:b], SEED) for a, b in spans], "<u8")
+        yield np.array([digest(spaced[a:b], SEED) for a, b in spans], "<u8")
+
+
+def majority(portions: Iterable[np.ndarray]) -> int:
+    """The 64 bits that are set in over half of all hashes; zero if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in portions:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts), bitorder="little").tobytes(), "little")
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of the word shingles of a text (UTF-8): a bit is 1 if over half the shingle hashes set it."""
+    return majority(shingle_hashes(text, words))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,8 +24,8 @@ from serospark.llm.texts import pieces
 from serospark.llm.workers import remembered
 
 # Words kept per worker (some 200 bytes a word), and bytes of text whose words are made distinct at once.
-WORDS_KEPT = 600_000
-SLICE_BYTES = 1 << 24
+WORDS_KEPT = 300_000
+SLICE_BYTES = 1 << 21
 _ENDS = string.punctuation  # none is a letter or number, so marks after letters are a token group of their own
 _WORD_MAKE = {
     "normalizer": {"type": "Sequence", "normalizers": [

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import string
 import zlib
 
 import duckdb
@@ -192,9 +193,11 @@ def test_pipeline_against_its_parts(spark, documents, duck, result):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     rejected = {r["doc_id"] for r in result("op4_toxicity") if r["predicted"]}
     assert set(sizes[0]) == set(documents) - rejected
-    prints, component = {d: simhash(sizes[0][d]) for d in sorted(sizes[0])}, {}
-    for d in prints:
-        near = {component[e] for e in component if (prints[d] ^ prints[e]).bit_count() <= 4}
+    # The stage links sets of five-word shingles of Jaccard index 0.8 or more.
+    lower = {ord(c): c.lower() for c in string.ascii_uppercase}
+    sets, component = {d: shingles(sizes[0][d].translate(lower)) for d in sorted(sizes[0])}, {}
+    for d, own in sets.items():
+        near = {component[e] for e in component if own == sets[e] or 5 * len(own & sets[e]) >= 4 * len(own | sets[e])}
         for e in [e for e, c in component.items() if c in near]:
             component[e] = min(near | {d})
         component[d] = min(near | {d})
