@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions.hashing import unit_hash
 from serospark.operators.titres import column_basis_distance
-from serospark.plans.skew import SLICES, dense_ids, lookup
+from serospark.plans.skew import LIMIT, dense_ids, lookup, lookup_ends
 from serospark.session import cut_lineage, drop_table
 
 # Nodes whose forces a task adds up before it hands them on.
@@ -20,10 +20,9 @@ def _axes(dims: int) -> list[str]:
     return [f"x{i}" for i in range(dims)]
 
 
-def _with_ends(edges: DataFrame, places: DataFrame, slices: int) -> DataFrame:
+def _with_ends(edges: DataFrame, places: DataFrame, limit: int) -> DataFrame:
     """Edges with the places of both ends: an array with all restarts, so an edge stays one row."""
-    out = lookup(edges, places.select(F.col("node").alias("a"), F.col("p").alias("_pa")), "a", "inner", slices)
-    return lookup(out, places.select(F.col("node").alias("b"), F.col("p").alias("_pb")), "b", "inner", slices)
+    return lookup_ends(edges, places, "node", {"p": ("_pa", "_pb")}, limit=limit)
 
 
 def _residuals(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +42,7 @@ def _list_column(values: np.ndarray) -> pa.Array:
     return pa.array(list(values.reshape(len(values), -1)), pa.list_(pa.float64()))
 
 
-def stress(edges: DataFrame, places: DataFrame, dims: int = 2, slices: int = SLICES) -> DataFrame:
+def stress(edges: DataFrame, places: DataFrame, dims: int = 2, limit: int = LIMIT) -> DataFrame:
     """``(restart, stress)``: summed squared residuals of ``places (node, p)``."""
     def squares(batches):
         for batch in batches:
@@ -52,7 +51,7 @@ def stress(edges: DataFrame, places: DataFrame, dims: int = 2, slices: int = SLI
                 total = (gap * gap).sum(axis=0)
                 yield pa.RecordBatch.from_pydict({"restart": pa.array(np.arange(len(total)), pa.int32()), "s": pa.array(total)})
 
-    parts = _with_ends(edges, places, slices).select("dist", "censored", "_pa", "_pb").mapInArrow(squares, "restart int, s double")
+    parts = _with_ends(edges, places, limit).select("dist", "censored", "_pa", "_pb").mapInArrow(squares, "restart int, s double")
     return parts.groupBy("restart").agg(F.sum("s").alias("stress"))
 
 
@@ -62,7 +61,7 @@ def embed(
     restarts: int = 1,
     rounds: int = 50,
     seed: int = 42,
-    slices: int = SLICES,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """``(node, p)`` minimising the stress of ``edges`` ``(a, b, dist, censored)``; ``p`` holds ``dims`` numbers per restart.
 
@@ -103,7 +102,7 @@ def embed(
             yield out()
 
     for _ in range(rounds):
-        parts = _with_ends(edges, places, slices).select("a", "b", "dist", "censored", "_pa", "_pb").mapInArrow(forces, "node string, f array<double>")
+        parts = _with_ends(edges, places, limit).select("a", "b", "dist", "censored", "_pa", "_pb").mapInArrow(forces, "node string, f array<double>")
         summed = parts.groupBy("node").agg(F.array(*[F.sum(F.col("f")[i]) for i in range(size)]).alias("f"))
         moved = F.zip_with("p", "f", lambda x, f: x + f / (2 * F.col("degree")))
         following = places.join(summed, "node", "left").select("node", "degree", F.when(F.col("f").isNull(), F.col("p")).otherwise(moved).alias("p"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from serospark.functions.constants import AMINO_ACIDS
 from serospark.functions.pairs import total
 from serospark.functions.residues import let
-from serospark.plans.skew import SLICES, lookup, with_group_stats
+from serospark.plans.skew import LIMIT, lookup, with_group_stats
 from serospark.session import cut_lineage
 
 N = len(AMINO_ACIDS)
@@ -72,15 +72,15 @@ def range_scale_cells(mats: DataFrame) -> DataFrame:
     return mats.withColumn("cells", scaled)
 
 
-def zscore_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", slices: int = SLICES) -> DataFrame:
+def zscore_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", limit: int = LIMIT) -> DataFrame:
     """Z-score of a long column within groups of any size."""
-    stats = with_group_stats(df, keys, {"_mean": F.avg(value), "_std": F.stddev_pop(value)}, slices)
+    stats = with_group_stats(df, keys, {"_mean": F.avg(value), "_std": F.stddev_pop(value)}, limit)
     return stats.withColumn(out, F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
 
 
-def range_scale_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "scaled", slices: int = SLICES) -> DataFrame:
+def range_scale_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "scaled", limit: int = LIMIT) -> DataFrame:
     """``v / (max - min)`` of a long column within groups of any size, 0 where the range is 0."""
-    stats = with_group_stats(df, keys, {"_span": F.max(value) - F.min(value)}, slices)
+    stats = with_group_stats(df, keys, {"_span": F.max(value) - F.min(value)}, limit)
     scaled = F.when(F.col("_span") > 0, F.col(value) / F.col("_span")).otherwise(F.lit(0.0))
     return stats.withColumn(out, scaled).drop("_span")
 
@@ -280,6 +280,6 @@ def top_n(df: DataFrame, n: int, by: str = "weight", name: str = "prop_name", as
     return df.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), name).limit(n)
 
 
-def select_by_names(props: DataFrame, ranked: DataFrame, slices: int = SLICES) -> DataFrame:
+def select_by_names(props: DataFrame, ranked: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Properties named in ``ranked`` (``prop_name, weight``); the weight travels with the name."""
-    return lookup(props, ranked.select(F.col("prop_name").alias("prop"), "weight"), "prop", "inner", slices)
+    return lookup(props, ranked.select(F.col("prop_name").alias("prop"), "weight"), "prop", "inner", limit)

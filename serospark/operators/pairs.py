@@ -18,31 +18,30 @@ from serospark.functions import residues as R
 from serospark.functions import sites as X
 from serospark.functions.constants import AMINO_ACIDS, EPITOPES, KEY_SITES, SCALES
 from serospark.functions.hashing import fold_of, unit_hash
-from serospark.plans.skew import SLICES, keep_both_ends, lookup, lookup_as
+from serospark.plans.skew import LIMIT, keep_both_ends, lookup, lookup_ends
 
 
-def attach_sequences(pairs: DataFrame, seqs: DataFrame, columns: Sequence[str] = ("seq",), slices: int = SLICES) -> DataFrame:
+def attach_sequences(pairs: DataFrame, seqs: DataFrame, columns: Sequence[str] = ("seq",), limit: int = LIMIT) -> DataFrame:
     """Add ``<column>_a`` and ``<column>_b`` from the table ``seqs`` (one row per ``name``)."""
-    out = lookup_as(pairs, seqs, "a", "name", {c: f"{c}_a" for c in columns}, slices=slices)
-    out = lookup_as(out, seqs, "b", "name", {c: f"{c}_b" for c in columns}, slices=slices)
+    out = lookup_ends(pairs, seqs, "name", {c: (f"{c}_a", f"{c}_b") for c in columns}, limit=limit)
     return out.select(*pairs.columns, *[f"{c}_{end}" for c in columns for end in "ab"])
 
 
-def labelled_pairs(distances: DataFrame, seqs: DataFrame, order: str | None = None, slices: int = SLICES) -> DataFrame:
+def labelled_pairs(distances: DataFrame, seqs: DataFrame, order: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Unordered pairs with a known distance and both sequences: ``(a, b, dist, seq_a, seq_b)``.
 
     A symmetric table holds each pair twice; the row whose first name comes first is kept. "First"
     is by name, or by the column ``order`` of ``seqs`` where file order matters.
     """
     if order is None:
-        return attach_sequences(distances.filter(F.col("a") < F.col("b")), seqs, slices=slices)
-    both = attach_sequences(distances, seqs, ("seq", order), slices)
+        return attach_sequences(distances.filter(F.col("a") < F.col("b")), seqs, limit=limit)
+    both = attach_sequences(distances, seqs, ("seq", order), limit)
     return both.filter(F.col(f"{order}_a") < F.col(f"{order}_b")).drop(f"{order}_a", f"{order}_b")
 
 
-def attach_distance(pairs: DataFrame, distances: DataFrame, slices: int = SLICES) -> DataFrame:
+def attach_distance(pairs: DataFrame, distances: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Label ``(a, b)`` rows with ``dist``; pairs without a distance drop."""
-    return lookup(pairs, distances.select("a", "b", "dist"), ["a", "b"], "inner", slices)
+    return lookup(pairs, distances.select("a", "b", "dist"), ["a", "b"], "inner", limit)
 
 
 def split_pairs(df: DataFrame, frac: float = 0.2, seed: int = 42, keys: Sequence[str] = ("a", "b")) -> DataFrame:
@@ -199,9 +198,9 @@ def combined_features(df: DataFrame, scalar_cells: Sequence[float], matrix_cells
     return out.withColumn("features", F.concat("x0", "x1", "x2"))
 
 
-def pair_distances(pairs: DataFrame, points: DataFrame, name: str = "dist", slices: int = SLICES) -> DataFrame:
+def pair_distances(pairs: DataFrame, points: DataFrame, name: str = "dist", limit: int = LIMIT) -> DataFrame:
     """L2 distance of the listed pairs from ``points`` ``(name, point ARRAY)``."""
-    both = attach_sequences(pairs, points, ("point",), slices)
+    both = attach_sequences(pairs, points, ("point",), limit)
     return both.withColumn(name, P.euclidean(F.col("point_a"), F.col("point_b"))).drop("point_a", "point_b")
 
 
@@ -211,14 +210,14 @@ def both_directions(distances: DataFrame, value: str = "dist") -> DataFrame:
     return distances.select("a", "b", value).unionByName(mirrored)
 
 
-def patch_distances(distances: DataFrame, predicted: DataFrame, slices: int = SLICES) -> DataFrame:
+def patch_distances(distances: DataFrame, predicted: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Distances between predicted names, with predictions in place of truth in both directions.
 
     ``distances`` is symmetric; ``predicted`` is ``(a, b, prediction)`` with one row per pair.
     """
     names = predicted.select("a").union(predicted.select(F.col("b").alias("a")))
-    cut = keep_both_ends(distances, names, "a", "b", slices)
-    patched = lookup(cut, both_directions(predicted, "prediction"), ["a", "b"], "left", slices)
+    cut = keep_both_ends(distances, names, "a", "b", limit)
+    patched = lookup(cut, both_directions(predicted, "prediction"), ["a", "b"], "left", limit)
     return patched.withColumn("patched", F.coalesce("prediction", "dist")).drop("prediction")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from serospark.functions import residues as R
-from serospark.plans.skew import SLICES, keep_both_ends, keep_members, lookup, lookup_as
+from serospark.plans.skew import LIMIT, keep_both_ends, keep_members, lookup, lookup_as
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -23,8 +23,8 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
-def keep_named(df: DataFrame, names: DataFrame, column: str = "name", slices: int = SLICES) -> DataFrame:
-    return keep_members(df, names, column, slices)
+def keep_named(df: DataFrame, names: DataFrame, column: str = "name", limit: int = LIMIT) -> DataFrame:
+    return keep_members(df, names, column, limit)
 
 
 def best_record(df: DataFrame, order: Sequence[str] = ("file", "pos")) -> DataFrame:
@@ -67,13 +67,13 @@ def undated_names(df: DataFrame) -> DataFrame:
 
 
 def representative_map(
-    df: DataFrame, order: Sequence[str] = ("file", "pos"), slices: int = SLICES
+    df: DataFrame, order: Sequence[str] = ("file", "pos"), limit: int = LIMIT
 ) -> DataFrame:
     """``(name, representative)`` for every name; for a repeated name its last record counts."""
     reps = representatives(df, order)
     dated = df.filter(R.year_of(F.col("name")).isNotNull())
     last = dated.groupBy("name").agg(F.max_by("seq", F.struct(*order)).alias("seq"))
-    return lookup(last, reps, "seq", "inner", slices).select("name", "representative")
+    return lookup(last, reps, "seq", "inner", limit).select("name", "representative")
 
 
 def dedupe_sequences(df: DataFrame, order: Sequence[str] = ("file", "pos")) -> DataFrame:
@@ -86,17 +86,17 @@ def first_n(df: DataFrame, n: int, order: Sequence[str] = ("file", "pos")) -> Da
     return df.orderBy(*order).limit(n)
 
 
-def common_names(seqs: DataFrame, distances: DataFrame, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+def common_names(seqs: DataFrame, distances: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Sequences and distance rows cut to the names both tables know."""
     known = distances.select(F.col("a").alias("name")).union(distances.select(F.col("b").alias("name")))
-    kept = keep_members(seqs, known, "name", slices)
+    kept = keep_members(seqs, known, "name", limit)
     names = kept.select("name")
-    return kept, keep_both_ends(distances, names, "a", "b", slices)
+    return kept, keep_both_ends(distances, names, "a", "b", limit)
 
 
-def short_names(df: DataFrame, name_map: DataFrame, slices: int = SLICES) -> DataFrame:
+def short_names(df: DataFrame, name_map: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Add ``short_name`` from ``(full_name, short_name)``; unknown names get null."""
-    return lookup_as(df, name_map, "name", "full_name", {"short_name": "short_name"}, "left", slices)
+    return lookup_as(df, name_map, "name", "full_name", {"short_name": "short_name"}, "left", limit)
 
 
 def site_residues(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions import titres as T
-from serospark.plans.skew import SLICES, keep_both_ends, lookup_as, with_group_stats
+from serospark.plans.skew import LIMIT, keep_both_ends, lookup_as, with_group_stats
 from serospark.sources.tables import quoted
 
 PAIR = ["virus_1", "virus_2"]
@@ -87,13 +87,13 @@ def merge_reports(assay: DataFrame, truncate: bool = True) -> DataFrame:
 
 
 def collapse_to_representatives(
-    pairs: DataFrame, name_map: DataFrame, truncate: bool = True, slices: int = SLICES
+    pairs: DataFrame, name_map: DataFrame, truncate: bool = True, limit: int = LIMIT
 ) -> DataFrame:
     """Second pass: both ends to their representative, mean again, self pairs dropped.
 
     Names missing from ``name_map`` (``name``, ``representative``) drop their pairs.
     """
-    mapped = remap_pairs(pairs, name_map, "virus_1", "virus_2", slices=slices)
+    mapped = remap_pairs(pairs, name_map, "virus_1", "virus_2", limit=limit)
     again = canonical_pair(mapped.select(F.col("virus_1").alias("test"), F.col("virus_2").alias("ref"), "titre"))
     return drop_self_pairs(censored_mean(again, truncate=truncate))
 
@@ -106,7 +106,7 @@ def titre_distance(df: DataFrame, titre: str = "titre") -> DataFrame:
 
 
 def column_basis_distance(
-    df: DataFrame, ref: str = "ref", titre: str = "titre", slices: int = SLICES
+    df: DataFrame, ref: str = "ref", titre: str = "titre", limit: int = LIMIT
 ) -> DataFrame:
     """Per serum: highest ``log2(titre/10)`` minus ``log2(titre/10)``; ``<n`` reads as n, flagged.
 
@@ -120,7 +120,7 @@ def column_basis_distance(
         .withColumn("log_titre", F.log2(T.titre_number(F.col(titre)) / F.lit(10.0)))
         .drop("_kind")
     )
-    based = with_group_stats(cells, [ref], {"column_basis": F.max("log_titre")}, slices)
+    based = with_group_stats(cells, [ref], {"column_basis": F.max("log_titre")}, limit)
     return based.withColumn("distance", F.col("column_basis") - F.col("log_titre"))
 
 
@@ -159,10 +159,10 @@ def numeric_edges(df: DataFrame, a: str = "virus_1", b: str = "virus_2", titre:
 
 
 def semi_filter_pairs(
-    df: DataFrame, names: DataFrame, a: str = "virus_1", b: str = "virus_2", slices: int = SLICES
+    df: DataFrame, names: DataFrame, a: str = "virus_1", b: str = "virus_2", limit: int = LIMIT
 ) -> DataFrame:
     """Rows whose both ends are in the single-column table ``names``."""
-    return keep_both_ends(df, names, a, b, slices)
+    return keep_both_ends(df, names, a, b, limit)
 
 
 def remap_pairs(
@@ -170,13 +170,13 @@ def remap_pairs(
     name_map: DataFrame,
     a: str = "virus_1",
     b: str = "virus_2",
-    slices: int = SLICES,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """Replace both ends by their representative; unmapped names drop the row."""
     columns = df.columns
     out = df
     for end in (a, b):
-        out = lookup_as(out, name_map, end, "name", {"representative": "_rep"}, slices=slices)
+        out = lookup_as(out, name_map, end, "name", {"representative": "_rep"}, limit=limit, counted=df)
         out = out.withColumn(end, F.col("_rep")).drop("_rep")
     return out.select(*columns)
 

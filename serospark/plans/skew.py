@@ -8,24 +8,53 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from serospark.session import cut_lineage
 
-# Into how many slices the rows of every key are dealt.
-SLICES = 8
+# Rows of a key that stand in one slice, and the share of all rows (one in so many) that may at any size.
+LIMIT, SHARE = 20_000, 100_000
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner", slices: int = SLICES) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """``(*keys, _slices)`` of the keys whose rows ``_n`` need more than one slice.
+
+    A key has more than ``limit`` rows and more than one in ``SHARE`` of all rows, so there are fewer than ``SHARE``
+    such keys in a table of any size. That bound is what allows to broadcast them.
+    """
+    total = counts.agg(F.sum("_n").alias("total")).scalar()
+    rows = F.greatest(F.lit(limit).cast("double"), total / SHARE)
+    hot = counts.filter(F.col("_n") > rows).select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_slices"))
+    return F.broadcast(hot)
+
+
+def _dealt(left: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with ``_slice``: 0, or the slice of a row of a hot key.
+
+    Rows go by their values and the task they come from, so equal rows spread and a retried task repeats its slices.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.col("_slices")).cast("int")
+    return left.join(hot, list(keys), "left").withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(place)).drop("_slices")
+
+
+def lookup(
+    left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner", limit: int = LIMIT, counted: DataFrame | None = None,
+) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has one row per key.
 
-    The rows of every key on the left are dealt over the same number of slices, and every right row
-    is repeated once per slice, so a key that holds a third of the rows becomes ``slices`` equal
-    parts. No key is counted first and nothing depends on sizes. A right side that the optimizer's
-    own size check finds small is broadcast. A null key matches nothing and is dealt the same way.
+    The rows of every key on the left are counted, combined before the shuffle. A key with more than ``limit`` rows
+    (and more than one in ``SHARE`` of all) is dealt over as many slices as it needs, and its row on the right is repeated once per
+    slice; any other key stays whole and its row on the right stands once. So a key that holds a third of the rows
+    becomes equal parts of bounded size, and nothing is copied for the rest. A right side that the optimizer's own size check
+    finds small is broadcast. A null key matches nothing. ``counted`` names a cheaper table to count instead: one
+    with at least the rows of ``left`` for each key, such as the table it was joined from.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    # Equal rows of one key still spread, by the task they come from; a retried task repeats its slices.
-    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    dealt = left.withColumn("_slice", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(slices)).cast("int"))
-    copies = right.withColumn("_slice", F.explode(F.lit(list(range(slices)))))
-    return dealt.join(copies, [*keys, "_slice"], how).drop("_slice")
+    counts = (left if counted is None else counted).select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sliced_join(left, right, keys, how, hot_keys(counts.dropna(subset=keys), keys, limit))
+
+
+def sliced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: DataFrame) -> DataFrame:
+    """``lookup`` with the ``hot_keys`` known beforehand."""
+    copies = right.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+    return _dealt(left, hot, keys).join(copies, [*keys, "_slice"], how).drop("_slice")
 
 
 def lookup_as(
@@ -35,24 +64,35 @@ def lookup_as(
     right_key: str,
     values: dict[str, str],
     how: str = "inner",
-    slices: int = SLICES,
+    limit: int = LIMIT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``lookup`` on differently named keys; ``values`` maps right columns to new names."""
     renamed = right.select(
         F.col(right_key).alias(left_key), *[F.col(old).alias(new) for old, new in values.items()]
     )
-    return lookup(left, renamed, left_key, how, slices)
+    return lookup(left, renamed, left_key, how, limit, counted)
+
+
+def lookup_ends(
+    edges: DataFrame, right: DataFrame, key: str, values: dict[str, tuple[str, str]], ends: tuple[str, str] = ("a", "b"), how: str = "inner", limit: int = LIMIT,
+) -> DataFrame:
+    """``lookup_as`` for both ends of an edge table; ``values`` maps right columns to their names at either end."""
+    out = edges
+    for i, end in enumerate(ends):
+        out = lookup_as(out, right, end, key, {c: names[i] for c, names in values.items()}, how, limit, edges)
+    return out
 
 
-def keep_members(df: DataFrame, members: DataFrame, column: str, slices: int = SLICES) -> DataFrame:
+def keep_members(df: DataFrame, members: DataFrame, column: str, limit: int = LIMIT, counted: DataFrame | None = None) -> DataFrame:
     """Rows whose ``column`` occurs in the single-column table ``members`` (made distinct here)."""
     distinct = members.select(F.col(members.columns[0]).alias(column)).distinct()
-    return lookup(df, distinct, column, "inner", slices).select(*df.columns)
+    return lookup(df, distinct, column, "inner", limit, counted).select(*df.columns)
 
 
-def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, slices: int = SLICES) -> DataFrame:
+def keep_both_ends(df: DataFrame, members: DataFrame, a: str, b: str, limit: int = LIMIT) -> DataFrame:
     """Rows whose two ends both occur in ``members``."""
-    return keep_members(keep_members(df, members, a, slices), members, b, slices)
+    return keep_members(keep_members(df, members, a, limit), members, b, limit, df)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,15 +101,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def with_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], stats: dict[str, Column], limit: int = LIMIT
 ) -> DataFrame:
     """Add per-group aggregates to every row.
 
     A window over the group would sort a whole group in one task; here the aggregate is combined
-    on the map side and joined back with ``lookup``.
+    on the map side and joined back with ``lookup``. The same aggregate counts the rows of each group.
     """
-    table = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in stats.items()])
-    return lookup(df, table, list(keys), "inner", slices)
+    keys = list(keys)
+    table = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[expr.alias(name) for name, expr in stats.items()])
+    return sliced_join(df, table.drop("_n"), keys, "inner", hot_keys(table.select(*keys, "_n").dropna(subset=keys), keys, limit))
 
 
 def ordered_ids(names: DataFrame) -> DataFrame:

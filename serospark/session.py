@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, label: str = "state") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and continue from it.
+def cut_lineage(df: DataFrame, label: str = "state", *folders: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, split into ``folders`` by these columns, and continue from it.
 
     Unlike an RDD checkpoint the table is columnar and has true sizes, so the following joins are
     planned on facts, and a lost executor only means reading files again.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.repartition(*folders).write.partitionBy(*folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +68,6 @@ def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut_lineage`` that nothing reads any more."""
     spark = df.sparkSession
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)

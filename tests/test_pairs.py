@@ -142,20 +142,20 @@ def test_salted_lookup_equals_a_join(spark, rows, how):
     left = spark.createDataFrame([(rng.choice(["hot"] * 6 + ["x", "y", None]), i) for i in range(400)], "k string, v int")
     right = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, w int")
     want = rows(left.join(right, "k", how), "k", "v", "w")
-    salted = skew.lookup(left, right, "k", how, slices=20)
+    salted = skew.lookup(left, right, "k", how, limit=20)
     assert rows(salted, "k", "v", "w") == want
 
 
 def test_lookup_spreads_any_number_of_hot_keys(spark):
-    """A key with a third of the rows and 5,000 smaller ones: no partition holds much more than its share."""
-    left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"), "id")
+    """A key with a third of the rows, half of them equal, and 5,000 smaller ones: no partition holds much more than its share."""
+    left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"), F.when(F.col("id") % 6 > 0, F.col("id")).alias("id")).repartition(64)
     right = spark.range(-1, 5000).select(F.col("id").alias("k"), F.lit(1).alias("w")).hint("merge")
     plain = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
     kept = {k: spark.conf.get(k) for k in plain}
     for k, v in plain.items():
         spark.conf.set(k, v)
     try:
-        joined = skew.lookup(left, right, "k", slices=32)
+        joined = skew.lookup(left, right, "k", limit=500)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         for k, v in kept.items():
@@ -163,6 +163,15 @@ def test_lookup_spreads_any_number_of_hot_keys(spark):
     assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 16
 
 
+def test_lookup_copies_only_for_hot_keys(spark):
+    """The right row of a cold key stands once; a hot key's stands once for every ``limit`` rows."""
+    left = spark.range(1000).select(F.when(F.col("id") < 400, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    hot = {r["k"]: r["_slices"] for r in skew.hot_keys(counts, ["k"], 100).collect()}
+    assert hot == {0: 4}
+    assert skew.lookup(left, left.distinct().withColumn("w", F.lit(1)), "k", limit=100).count() == 1000
+
+
 def test_ids_follow_the_order_of_names(spark):
     names = spark.createDataFrame([(f"n{i * 7919 % 1000:04d}",) for i in range(1500)], "name string")
     for ids, label in ((skew.ordered_ids(names), "id"), (skew.dense_ids(names, "k"), "k")):

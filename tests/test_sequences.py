@@ -29,7 +29,7 @@ def test_representative_is_earliest_year_then_first(spark, rows):
         ("f", 1, "A/b/2005", "AAA"), ("f", 2, "A/a/2003", "AAA"), ("f", 3, "A/c/03", "AAA"), ("f", 4, "A/d/04", "CCC"), ("f", 5, "A/none", "CCC"),
     ], SCHEMA)
     assert rows(S.representative_map(df)) == [("A/a/2003", "A/a/2003"), ("A/b/2005", "A/a/2003"), ("A/c/03", "A/a/2003"), ("A/d/04", "A/d/04")]
-    assert rows(S.representative_map(df, slices=3)) == rows(S.representative_map(df))
+    assert rows(S.representative_map(df, limit=3)) == rows(S.representative_map(df))
     assert rows(S.undated_names(df), "name") == [("A/none",)]
 
 

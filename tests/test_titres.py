@@ -73,7 +73,7 @@ def test_column_basis(spark, rows):
     df = spark.createDataFrame([("a", "s", "40"), ("b", "s", "160"), ("c", "s", "<20"), ("d", "s", "*")], "test string, ref string, titre string")
     got = rows(T.column_basis_distance(df), "test", "distance", "censored")
     assert got == [("a", 2.0, False), ("b", 0.0, False), ("c", 3.0, True)]
-    assert rows(T.column_basis_distance(df, slices=3), "test", "distance", "censored") == got
+    assert rows(T.column_basis_distance(df, limit=3), "test", "distance", "censored") == got
 
 
 def test_matrix_fills_gaps_and_rejects_duplicates(spark, rows):
@@ -104,7 +104,43 @@ def test_prune_cascades(spark, rows):
     assert len(want) == 28 < len(cells)
     pruned = G.prune_sparse(df)
     assert rows(pruned) == sorted((r, c, t) for (r, c), t in want.items())
-    assert rows(G.prune_sparse(pruned, slices=3)) == rows(pruned)
+    assert rows(G.prune_sparse(pruned, limit=3)) == rows(pruned)
+
+
+@pytest.mark.parametrize("length", [2, 30])
+def test_prune_follows_chains(spark, rows, length):
+    """Each removal takes the next key below the bound; a block of full rows and columns stays. Every cell sends at most two decrements."""
+    chain = [(f"r{i}", f"c{i}", "40") for i in range(length)] + [(f"r{i + 1}", f"c{i}", "40") for i in range(length)]
+    block = [(f"R{i}", f"C{j}", "40") for i in range(2) for j in range(2)]
+    df = spark.createDataFrame(chain + block, "virus_1 string, virus_2 string, titre string")
+    assert rows(G.prune_sparse(df, min_valid=2, buckets=4)) == sorted(block)
+    joined = []
+    plain = G.sliced_join
+    try:
+        G.sliced_join = lambda *a: joined.append(plain(*a).persist()) or joined[-1]
+        G.prune_sparse(df, min_valid=2, buckets=4).count()
+        assert len(joined) > length and sum(j.count() for j in joined) <= 2 * len(chain)
+    finally:
+        G.sliced_join = plain
+
+
+def test_tasks_hand_on_stars(spark):
+    """Within a task all edges become one star a component; portions of few nodes lose no link."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
+    df = spark.createDataFrame(edges, "u long, v long").coalesce(1)
+    roots = list(range(300))
+    for u, v in edges:
+        a, b = sorted((roots[u], roots[v]))
+        roots = [a if r == b else r for r in roots]
+    stars = {r["u"]: r["v"] for r in df.mapInArrow(G._forest(), "u long, v long").collect()}
+    assert stars == {n: r for n, r in enumerate(roots) if n != r and any(n in e for e in edges)}
+    some = [(r["u"], r["v"]) for r in df.mapInArrow(G._forest(20), "u long, v long").collect()]
+    again = list(range(300))
+    for u, v in some:
+        a, b = sorted((again[u], again[v]))
+        again = [a if r == b else r for r in again]
+    assert again == roots
 
 
 def test_components_of_paths_and_hubs(spark, rows):
@@ -112,8 +148,8 @@ def test_components_of_paths_and_hubs(spark, rows):
     hub = [("hub", f"h{i:03d}") for i in range(50)]
     loop = [("self", "self"), ("y", "x"), ("x", "y")]
     edges = spark.createDataFrame(path + hub + loop, "a string, b string")
-    for slices in (1, 5):
-        got = dict(rows(G.connected_components(edges, slices=slices)))
+    for limit in (1, 5):
+        got = dict(rows(G.connected_components(edges, limit=limit)))
         assert {got[f"p{i:03d}"] for i in range(61)} == {"p000"}
         assert {got[f"h{i:03d}"] for i in range(50)} | {got["hub"]} == {"h000"}
         assert got["self"] == "self" and got["x"] == got["y"] == "x"
