@@ -61,9 +61,6 @@ CITY_ABBREVIATIONS = {
     "SAust": "South Australia",
 }
 
-# Month names and short forms accepted in report file names.
-MONTHS_SHORT = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-
 # The pattern of a strain name, and the titles of the tables that are read.
 STRAIN_PATTERN = r"A/[^/\n]+/[A-Za-z0-9\-]+/\d{2,4}"
 TABLE_TITLES = (
@@ -81,7 +78,27 @@ DECEMBER_COLUMNS = {
 }
 DECEMBER_PHRASES = ("Haemagglutination inhibition titre1 Post infection ferret sera ", " 1 . <40,<4040", " 1. <40,<4040")
 
-# Month names and the two forms of a period in a file name.
-MONTHS_LONG = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-MONTH_THEN_YEAR = rf"({'|'.join(m for m in MONTHS_LONG if m != 'may')}|sept|{'|'.join(MONTHS_SHORT)})[^0-9]{{0,5}}(\d{{4}})"
-YEAR_THEN_MONTH = rf"(\d{{4}})[^a-z]{{0,5}}({'|'.join(MONTHS_SHORT)})"
+# The strain names of the first report, with two-digit years.
+FIRST_STRAIN_PATTERN = r"A/[A-Za-z\-]+/[A-Za-z0-9\-]+/\d{2}"
+
+# What the lists of table heads start with, in order of precedence.
+HEADER_STARTS = {
+    "first": ("Viruses Isolation",),
+    "early": ("Viruses Isolation", "Viruses Collection"),
+    "middle": ("Viruses Collection Passage ", "Collection Passage "),
+    "plaques": ("Viruses Collection Passage plaques ", "Viruses Collection Passage ", "Collection Passage "),
+    "later": ("Viruses Collection Passage plaques ", "Viruses Collection Passage ", "Viruses Other Collection Passage ", "Collection Passage "),
+    "latest": ("Viruses Collection Passage plaques ", "Viruses Collection Passage ", "Viruses Other Collection Passage ", "Collection Passage ", "Viruses Other "),
+    "dates": ("Date History ",),
+    "later dates": ("Date History ", "information date history ", "date history "),
+    "latest dates": ("Date History ", "information date history ", "date history ", "information "),
+}
+
+# Marks in report text and what they are read as.
+REPLACED = {"below": ("<", "<40"), "not done": ("ND", "*"), "not tested": ("NT", "*"), "bar": ("|", "*"), "above": (">", ""), "star": ("*", "")}
+
+# The two forms of a period in a file name.
+MONTH_THEN_YEAR = (
+    r"(january|february|march|april|june|july|august|september|october|november|december|sept|"
+    r"jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[^0-9]{0,5}(\d{4})")
+YEAR_THEN_MONTH = r"(\d{4})[^a-z]{0,5}(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
