@@ -120,6 +120,16 @@ def _rooted(state: DataFrame) -> bool:
     return again and ends.filter("n > 1").isEmpty()
 
 
+def stars(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``(u, v)``: every number of the edges ``(u, v)`` that is not the smallest of its component, with the one that is."""
+    state = cut_lineage(_oriented(edges), "edges")
+    while not _rooted(state):
+        following = _star_round(state, limit)
+        drop_table(state)
+        state = following
+    return state
+
+
 def connected_components(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(name, component)`` for undirected edges ``(a, b)``; the component is its smallest name.
 
@@ -132,12 +142,7 @@ def connected_components(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     edges = cut_lineage(edges.select("a", "b"), "edges")
     numbers = ordered_ids(involved_names(edges, "a", "b"))
-    coded = lookup_ends(edges, numbers, "name", {"id": ("u", "v")}, limit=limit)
-    state = cut_lineage(_oriented(coded), "edges")
-    while not _rooted(state):
-        following = _star_round(state, limit)
-        drop_table(state)
-        state = following
+    state = stars(lookup_ends(edges, numbers, "name", {"id": ("u", "v")}, limit=limit), limit)
     roots = numbers.join(state.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     named = lookup_as(roots.filter("root IS NOT NULL"), numbers, "root", "id", {"name": "component"}, limit=limit, counted=state.select(F.col("v").alias("root")))
     return named.select("name", "component").union(roots.filter("root IS NULL").select("name", F.col("name").alias("component")))
