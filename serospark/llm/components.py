@@ -1,52 +1,18 @@
-"""Connected components of an edge table of long ids, in rounds of joins and aggregates."""
+"""Connected components of an edge table of long ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from serospark.llm.common import salted_lookup
-from serospark.session import cut_lineage, drop_table
-
-
-def _oriented(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def _minima(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def _large_star(state: DataFrame) -> DataFrame:
-    both = state.union(state.select("v", "u"))
-    lowest = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return salted_lookup(both.filter("v > u"), lowest, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(state: DataFrame) -> DataFrame:
-    lowest = _minima(state)
-    rest = salted_lookup(state, lowest, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(lowest.select("u", F.col("m").alias("v")))
-
-
-def _print(state: DataFrame) -> tuple:
-    return tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+from serospark.operators.graph import stars
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)``; the root is the smallest node of the component.
 
-    Alternates large-star and small-star steps, which need few rounds on long chains too, until a
-    round changes no edge. Minima are combined before the shuffle and hubs are spread by
-    ``salted_lookup``. Every round is a written table; the one before it is deleted. Loops and
+    Tasks join their own edges first and hand on stars; rounds of large and small stars join these until every edge leads
+    to a root. Every round is a written table; the one before it is deleted. Loops and
     repeated edges do no harm; a node with loops only is not listed. No edges give no rows.
     """
-    state = cut_lineage(_oriented(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
-    seen = _print(state)
-    while seen[0]:
-        following = cut_lineage(_oriented(_small_star(_oriented(_large_star(state)))), "edges")
-        drop_table(state)
-        state, before, seen = following, seen, _print(following)
-        if seen == before:
-            break
-    stars = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    state = stars(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

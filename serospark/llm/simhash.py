@@ -195,7 +195,9 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("max_bits must lie in 0..4")
     kinds = "a long, b long, full boolean"
-    found = cut_lineage(_dealt(values.select("fp").mapInArrow(_emit_keys, "key long, fp long")).mapInArrow(_link(max_bits, bucket), kinds), "links")
+    # A fingerprint has some hundred keys, so the narrow table is dealt over all cores before it grows.
+    spread = values.select("fp").repartition(values.sparkSession.sparkContext.defaultParallelism, "fp")
+    found = cut_lineage(_dealt(spread.mapInArrow(_emit_keys, "key long, fp long")).mapInArrow(_link(max_bits, bucket), kinds), "links")
     edges = found.filter("NOT full").select("a", "b")
     crowded = found.filter("full").select(F.col("a").alias("fp")).distinct()
     if not crowded.isEmpty():
