@@ -32,20 +32,24 @@ def unescape(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """``(conv_id, position, role, text)``: the final messages of an event log.
+    """``(conv_id, position, role, text)``: the final messages of an event log ``(conv_id, seq, kind, role, text)``.
 
-    Events before a conversation's first ``message`` and unknown kinds are ignored; a null text or
+    An optional column ``message`` numbers the message an event belongs to, so an edit may reach any earlier one; without it, or
+    where it is null, messages are numbered as they open and an event belongs to the last. Messages come in the order of their
+    numbers. Events of a message that is never opened and unknown kinds are ignored; a null text or
     role is empty. Events with equal ``seq`` are taken by kind, role and text. Repeated events count
     as often as they occur. An empty log has no messages; other columns are not read.
     """
     order = Window.partitionBy("conv_id").orderBy("seq", "kind", "role", "text")
-    log = events.select("conv_id", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.col("message").cast("long") if "message" in events.columns else F.lit(None).cast("long")
+    log = events.select("conv_id", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), number.alias("number"))
     opened = F.sum((F.col("kind") == "message").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = log.withColumns({"position": opened, "step": F.row_number().over(order)}).filter("position > 0")
+    numbered = log.withColumns({"position": F.coalesce("number", opened), "step": F.row_number().over(order)})
     starts = F.col("kind").isin("message", "edit", "regenerate")
     within = Window.partitionBy("conv_id", "position")
     from_step = F.max(F.when(starts, F.col("step"))).over(within)
-    pieces = numbered.withColumn("start", from_step).filter("step >= start OR kind = 'message'")
+    known = F.max((F.col("kind") == "message").cast("int")).over(within) == 1
+    pieces = numbered.withColumns({"start": from_step, "known": known}).filter("known AND (step >= start OR kind = 'message')")
     part = F.when((F.col("step") >= F.col("start")) & F.col("kind").isin("message", "delta", "edit"), F.struct("step", "text"))
     return pieces.groupBy("conv_id", "position").agg(
         F.max(F.when(F.col("kind") == "message", F.col("role"))).alias("role"),
@@ -89,18 +93,26 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return render(fold_events(events), loss_role)
 
 
+# Characters of the drafts that a made log begins some messages with, and where its late edits are numbered from.
+DRAFT, LATE = 12, 1 << 40
+
+
 def events_from_turns(turns: DataFrame) -> DataFrame:
-    """An event log for finished turns ``(conv_id, turn, role, text)``: a message streamed in two deltas.
+    """An event log, with message numbers, whose final messages are the turns ``(conv_id, turn, role, text)``.
 
-    Turns of equal number are ordered by role and text; a repeated row is a turn of its own.
+    By a hash of its place a message is streamed in two deltas, or begins with a draft that is regenerated before
+    these, or opens with a draft that is edited after the conversation's last message. Turns of equal number are
+    ordered by role and text; a repeated row is a turn of its own.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = turns.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long") * 3)
+    numbered = turns.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    none = F.lit(None).cast("string")
-    def event(k: int, kind: str, role: Column, text: Column) -> Column:
-        return F.struct((F.col("n") + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    return numbered.select("conv_id", F.inline(F.array(
-        event(0, "message", F.col("role"), none),
-        event(1, "delta", none, F.left("text", half)),
-        event(2, "delta", none, F.substr("text", half + 1)))))
+    none, way = F.lit(None).cast("string"), F.pmod(F.xxhash64("conv_id", "n"), F.lit(3))
+    draft = F.concat(F.lit("draft "), F.left("text", F.lit(DRAFT)))
+    def event(k: int, kind: str, role: Column, text: Column, late: int = 0) -> Column:
+        return F.struct((F.col("n") * 8 + k + late).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"), F.col("n").alias("message"))
+    opened, deltas = event(0, "message", F.col("role"), none), [event(3, "delta", none, F.left("text", half)), event(4, "delta", none, F.substr("text", half + 1))]
+    log = (F.when(way == 0, F.array(opened, event(1, "delta", none, draft), event(2, "regenerate", none, none), *deltas))
+           .when(way == 1, F.array(event(0, "message", F.col("role"), draft), event(1, "edit", none, F.col("text"), LATE)))
+           .otherwise(F.array(opened, *deltas)))
+    return numbered.select("conv_id", F.inline(log))

@@ -92,14 +92,30 @@ def features(texts: list[str], bits: int = BITS, grams: tuple[int, ...] = GRAMS)
     return Features(ids, live, starts)
 
 
+# Share of the texts left out of training whose best probability lies below the bound of rejection.
+REJECTED = 0.005
+
+
 @dataclass
 class Model:
-    """``table[f, c]``: score of feature ``f`` for class ``c``, averaged over a text and added to ``bias``."""
+    """``table[f, c]``: score of feature ``f`` for class ``c``, averaged over a text and added to ``bias``.
+
+    A best probability below ``reject`` is rare among texts of the learnt classes.
+    """
 
     classes: list
     table: np.ndarray
     bias: np.ndarray
     bits: int = BITS
+    reject: float = 0.0
+
+    def parts(self) -> tuple:
+        """What ``Model(*parts)`` is made from; plain values, which a worker can read without this package."""
+        return self.classes, self.table, self.bias, self.bits, self.reject
+
+    def weigh(self, shares: dict) -> None:
+        """Turn probabilities fitted on a sample into those of the whole: ``shares`` has the whole's share of a class over the sample's."""
+        self.bias = self.bias + np.log([max(shares.get(c, 1.0), 1e-12) for c in self.classes])
 
     def calibrate(self, z: np.ndarray, wanted: np.ndarray, rounds: int = 2000, rate: float = 0.05) -> None:
         """Scale and shift the scores to fit the classes of texts left out of training (scores ``z``)."""
@@ -215,15 +231,19 @@ def train(texts: list[str], labels: list, dims: int = 8, steps: int = 90_000, ep
     model = Model(classes, table @ weights, bias, bits)
     if aside.any():
         held = np.flatnonzero(aside)
-        model.calibrate(np.array([bags[i][1] @ model.table[bags[i][0]] + bias for i in held]), wanted[held])
+        z = np.array([bags[i][1] @ model.table[bags[i][0]] for i in held])
+        model.calibrate(z + bias, wanted[held])
+        sure = softmax(np.array([bags[i][1] @ model.table[bags[i][0]] for i in held]) + model.bias).max(axis=1)
+        model.reject = float(np.quantile(sure, REJECTED))
     return model
 
 
 def scored(model, batches, columns: int, out):
-    """Map Arrow batches ``(*columns, text)`` to their columns beside what ``out(model, texts)`` gives as arrays by name."""
+    """Map Arrow batches ``(*columns, text)`` to their columns beside what ``out(model, texts)`` gives as arrays by name; ``model`` is a broadcast of ``parts()``."""
     import pyarrow as pa
 
+    own = Model(*model.value)
     for batch in batches:
         texts = [t or "" for t in batch.column(columns).to_pylist()]
-        made = out(model.value, texts)
+        made = out(own, texts)
         yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *made.values()], names=[*batch.schema.names[:columns], *made])

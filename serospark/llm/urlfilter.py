@@ -47,14 +47,34 @@ def path_of(url: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+# Suffixes of two labels under which names are registered.
+LONG_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "ac.za", "co.za", "gov.za", "org.za", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "ac.kr", "co.kr", "go.kr", "or.kr",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in", "com.br", "gov.br", "net.br", "org.br", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.hk", "com.sg", "com.tw", "org.tw",
+    "com.ar", "com.co", "com.mx", "gob.mx", "org.mx", "com.tr", "gov.tr", "org.tr", "com.ua", "co.il", "org.il", "co.id", "co.th", "com.my", "com.ph", "com.vn", "com.eg", "com.sa")
+_ADDRESS = r"^([0-9.]+|\[.*\])$"
+
+
+def bare_name(host: Column | str) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def _labels(host: Column | str, n: int) -> Column:
+    name = bare_name(host)
+    long = F.substring_index(name, ".", -2).isin(*LONG_SUFFIXES)
+    return F.when(F.rlike(name, F.lit(_ADDRESS)), name).when(long, F.substring_index(name, ".", -n - 1)).otherwise(F.substring_index(name, ".", -n))
+
+
 def registered_domain(host: Column | str) -> Column:
-    """The last two labels of a host; shorter hosts stay."""
-    return F.substring_index(host, ".", -2)
+    """The suffix of a host with the label before it; shorter names and addresses stay whole."""
+    return _labels(host, 2)
 
 
 def suffix_of(host: Column | str) -> Column:
-    """The last label of a host."""
-    return F.substring_index(host, ".", -1)
+    """The last label of a host, or the last two where these are a suffix; an address is its own."""
+    return _labels(host, 1)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:

@@ -278,14 +278,59 @@ def test_language_edges(spark, docs, empty):
     rows += [(500, None, "en"), (501, "the same again", None)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     found = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(
-        [(1, "the dog and the cat"), (2, "die katze und der hund"), (3, None), (4, ""), (5, "12 - 34 !"), (6, "é")], "doc_id long, text string"), model, "doc_id").collect()}
+        [(1, "the dog and the cat"), (2, "die katze und der hund"), (3, None), (4, ""), (5, "12 - 34 !"), (6, "é"), (7, "½ ² ①"), (8, "_ª_")], "doc_id long, text string"), model, "doc_id", keep_rejected=True).collect()}
     assert [found[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"] and found[6]["lang_pred"] in ("en", "de")
+    assert found[7]["lang_pred"] == "und" and found[7]["score"] == 0 and found[8]["lang_pred"] in ("en", "de")
+    assert 0 < model.reject <= 1 and all(found[i]["rejected"] for i in (3, 4, 5, 7)) and not found[1]["rejected"] | found[2]["rejected"]
+    assert {r["lang_pred"] for r in langid.identify(docs.limit(0).unionByName(docs.filter("doc_id = 2")), model, "doc_id").collect()} == {"und"}
     strict = langid.identify(docs, model, "doc_id", reject_below=1.01)
     assert {r["lang_pred"] for r in strict.collect()} == {"und"} and strict.count() == len(ROWS)
     none = langid.fit(empty.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(docs, none, "doc_id").collect()} == {"und"}
 
 
+def test_samples_are_bounded_by_rows_and_know_every_class(spark):
+    """A chosen id on thousands of rows gives one text; a class of 3 in 10,000 has its part, and shares correct for it."""
+    docs = spark.range(10_000).select((F.col("id") % 2000).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.range(5000).select(F.lit(7).cast("long"), F.lit("again")))
+    answers = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") < 3).cast("int").alias("answer"))
+    found, shares = toxicity.sample_texts(docs, answers, 100)
+    assert sorted({y for y, _ in found}) == [0, 1] and sum(y for y, _ in found) == 3 and len(found) == 53
+    assert shares[1] == pytest.approx((3 / 2000) / (3 / 53)) and shares[0] == pytest.approx((1997 / 2000) / (50 / 53))
+    only, _ = toxicity.sample_texts(docs, answers.filter("doc_id = 7"), 1)
+    assert len(only) == 1
+    model = subwords.Model([0, 1], np.zeros((1 << 10, 2), np.float32), np.log([0.5, 0.5]), 10)
+    model.weigh({0: 1.5, 1: 0.5})
+    assert model.probabilities([""])[0] == pytest.approx([0.75, 0.25])
+    assert toxicity.sample_texts(docs, answers.limit(0), 5) == ([], {})
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.example.org": ("example.org", "org"),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "me:pw@www.example.com:8080": ("example.com", "com"), "192.168.3.4:80": ("192.168.3.4", "192.168.3.4"), "[::1]:9": ("[::1]", "[::1]")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select(
+        "host", urlfilter.registered_domain(F.col("host")).alias("d"), urlfilter.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in rows} == want
+
+
+def test_late_edits_reach_their_message(spark):
+    log = [(1, 1, "message", "user", "hi", 1), (1, 2, "message", "assistant", None, 2), (1, 3, "delta", None, "wrong", 2), (1, 4, "message", "user", "and", 3),
+           (1, 5, "edit", None, "hello", 1), (1, 6, "regenerate", None, None, 2), (1, 7, "delta", None, "ri", 2), (1, 8, "delta", None, "ght", 2), (1, 9, "edit", None, "lost", 9)]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, role string, text string, message long")
+    found = {r["position"]: (r["role"], r["text"]) for r in chat.fold_events(events).collect()}
+    assert found == {1: ("user", "hello"), 2: ("assistant", "right"), 3: ("user", "and")}
+
+
+def test_made_logs_take_every_branch(spark):
+    turns = spark.range(300).select((F.col("id") % 20).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("text of turn "), F.col("id").cast("string")).alias("text"))
+    events = chat.events_from_turns(turns)
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert kinds["message"] == 300 and kinds["edit"] > 50 and kinds["regenerate"] > 50
+    folded = chat.fold_events(events).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("t")).collect()
+    assert all([m["text"] for m in r["t"]] == [f"text of turn {r['conv_id'] + 20 * k}" for k in range(15)] for r in folded)
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, "delta", None, "lost"), (1, 2, "message", "user", "Hi <s>[x]</s> &amp; &lt;"), (1, 3, "message", "assistant", "A"), (1, 4, "delta", None, "B"),
