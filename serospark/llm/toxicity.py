@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from serospark.llm.subwords import Model, scored, train
 
 # Most labelled documents used for training, the same number of each label: those with the smallest hashes of their ids.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 THRESHOLD = 0.3
 
 
