@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from serospark.functions.constants import GROUPINGS, SCALES
-from serospark.models import linear, maps, network, search, trees
+from serospark.models import boosting, completion, linear, maps, network, search, trees
 from serospark.operators import metrics as M
 from serospark.operators import normalise as N
 from serospark.operators import pairs as PO
@@ -27,7 +27,7 @@ GRID = {"depths": (2, 3), "rates": (0.2,), "trees": (3,), "gains": (0.05,)}
 NETWORK = network.Settings(hidden=(32, 16), dropout=(0.0, 0.0), epochs=8, rate=5e-3, batch=64, patience=8)
 MAP = {"restarts": 3, "rounds": 10}
 MDS = {"restarts": 2, "rounds": 10}
-COMPLETION = {"rank": 3, "rounds": 3}
+COMPLETION = {"rank": 3, "penalty": 5.0, "rounds": 5}
 
 LABELLED = f"labelled AS (SELECT a, b, dist, {HASH} < 0.2 AS is_test, CAST(floor({FOLD_HASH} * {FOLDS}) AS INTEGER) AS fold FROM pairs)"
 
@@ -129,18 +129,18 @@ def boosted_grid(spark, sf_dir) -> DataFrame:
     out = PO.mutation_features(train, SHORT_KEY_SITES, SHORT_REGIONS)
     summary = F.array(*[F.col(c).cast("double") for c in PO.SUMMARY_FEATURES])
     data = out.select("dist", "fold", F.concat(F.col("diff").cast("array<double>"), summary).alias("features"))
-    _, table = trees.fit_boosted_grid(data, **GRID, folds=FOLDS, parallelism=2)
+    _, _, table = boosting.fit_grid(data, **GRID, folds=FOLDS)
     return table.select("max_depth", "learning_rate", "n_trees", "min_gain", F.lit(train.count()).alias("n"), (F.col("mse") < _spread(train) ** 2).alias("learns"))
 
 
 @query("matrix_search", f"""SELECT stage, n, true AS learns
-FROM (VALUES ('main', {len(SCALES)}), ('aux_0', {len(SCALES) - 1}), ('aux_1', {len(SCALES) - 1})) s(stage, n)""")
+FROM (VALUES ('main', {len(SCALES)}), ('aux_0', {len(SCALES) * (len(SCALES) - 1)}), ('aux_1', {len(SCALES) - 1})) s(stage, n)""")
 def matrix_search(spark, sf_dir) -> DataFrame:
-    """All three stages over all scales, on training pairs: candidates recorded, and whether all beat the mean."""
+    """All three stages over all scales, on training pairs, keeping the best 15 as published (here all): candidates recorded, and whether all beat the mean."""
     train = _training(_stored_pairs(spark, sf_dir))
     mats = N.difference_cells(standard_scales(spark))
     run = search.MatrixSearch(train, mats, scratch_path(spark, "search"), A.WINDOW, **SEARCH)
-    run.run(keep=1)
+    run.run()
     mean = _spread(train)
     stages = [run.ranked(stage, len(SCALES) ** 2).agg(F.count("rmse").cast("int").alias("n"), (F.max("rmse") < mean).alias("learns")).withColumn("stage", F.lit(stage))
               for stage in search.STAGES]
@@ -214,7 +214,7 @@ def complete_matrix(spark, sf_dir) -> DataFrame:
     """Every supplier against every serum that was measured at all: known cells keep their value, all are filled."""
     merged = cut_lineage(T.titre_distance(T.censored_mean(T.canonical_pair(A.assay(spark, sf_dir), directed=True))).select("virus_1", "virus_2", "distance"), "cells")
     cells = merged.filter("distance IS NOT NULL").select(F.col("virus_1").alias("a"), F.col("virus_2").alias("b"), F.col("distance").alias("dist"))
-    fill = maps.complete_matrix(cells, **COMPLETION)
+    fitted = completion.soft_impute(cells, **COMPLETION)
     wanted = merged.select(F.col("virus_1").alias("a"), F.col("virus_2").alias("b"), "distance")
     known = wanted.join(cells.select("a").distinct(), "a", "left_semi").join(cells.select("b").distinct(), "b", "left_semi")
-    return fill(known).select("a", "b", F.when(F.col("distance").isNotNull(), F.round("filled", 6)).alias("known"), F.expr("filled IS NOT NULL AND NOT isnan(filled)").alias("is_filled"))
+    return fitted.fill(known).select("a", "b", F.when(F.col("distance").isNotNull(), F.round("filled", 6)).alias("known"), F.expr("filled IS NOT NULL AND NOT isnan(filled)").alias("is_filled"))

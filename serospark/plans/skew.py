@@ -24,6 +24,12 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return F.broadcast(hot)
 
 
+def stored_hot_keys(df: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
+    """``hot_keys`` of one column, worked out once for the joins of a loop."""
+    counts = df.dropna(subset=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return F.broadcast(cut_lineage(hot_keys(counts, [key], limit), "hot"))
+
+
 def _dealt(left: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``left`` with ``_slice``: 0, or the slice of a row of a hot key.
 

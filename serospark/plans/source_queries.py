@@ -182,18 +182,19 @@ def ledger_pending(spark, sf_dir) -> DataFrame:
 
 
 @query("extract_links", """WITH h AS (SELECT url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hs FROM pages),
-u AS (SELECT url, CAST(i - 1 AS INTEGER) AS position, hs[i] AS href FROM h, unnest(range(1, len(hs) + 1)) t(i)),
-c AS (SELECT url, position, CASE position % 3 WHEN 0 THEN href WHEN 1 THEN 'down' || href ELSE '../up' || href END AS href, position % 3 AS k FROM u WHERE starts_with(href, '/') AND ends_with(href, 'e')),
+u AS (SELECT url, CAST(i - 1 AS INTEGER) AS position, replace(replace(replace(replace(hs[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS href FROM h, unnest(range(1, len(hs) + 1)) t(i)),
+c AS (SELECT url, position, CASE position % 3 WHEN 0 THEN href WHEN 1 THEN 'down' || href ELSE '../up' || href END AS href, position % 3 AS k FROM u),
 f AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(/.*)$', 1), '[^/]*$', '') AS folder FROM c)
 SELECT url, position, site || CASE k WHEN 0 THEN href WHEN 1 THEN folder || href ELSE regexp_replace(folder, '[^/]*/$', '') || substr(href, 4) END AS link FROM f""")
 def extract_links(spark, sf_dir) -> DataFrame:
-    """Every navigation target ending in ``e``, a third each from the root, below the page and above it."""
+    """Every navigation target, a third each from the root, below the page and above it; anchors in comments and scripts are none."""
     pages = A.table(spark, sf_dir, "pages")
     anchors = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
     def anchor(href, i):
-        return (F.when(~(href.startswith("/") & href.endswith("e")) | (i % 3 == 0), F.concat(F.lit('<a href="'), href, F.lit('">')))
-                .when(i % 3 == 1, F.concat(F.lit("<a href='down"), href, F.lit("'>"))).otherwise(F.concat(F.lit('<a href="../up'), href, F.lit('">'))))
-    return web.extract_links(pages.select("url", F.array_join(F.transform(anchors, anchor), "").alias("html")), "e")
+        own = (F.when(i % 3 == 0, F.concat(F.lit('<a href="'), href, F.lit('">'))).when(i % 3 == 1, F.concat(F.lit("<A class=x HREF = 'down"), F.replace(href, F.lit("'"), F.lit("&#39;")), F.lit("'>")))
+               .otherwise(F.concat(F.lit('<a title="a > b" href="../up'), href, F.lit('">'))))
+        return F.concat(F.lit('<!-- <a href="/no"> --><script>"<a href=\'/no\'>"</script><p title="<a href=/no>">'), own)
+    return web.extract_links(pages.select("url", F.array_join(F.transform(anchors, anchor), "").alias("html")), "")
 
 
 @query("report_period", """SELECT url, n, CASE WHEN m <> '' THEN regexp_extract(n, '(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*-?([0-9]{4})', 1) || '-' || lower(m)

@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from serospark.functions.constants import MONTH_THEN_YEAR, YEAR_THEN_MONTH
-
-ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))"
-# Entities that occur in addresses; numbered ones are read by rule.
-ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"))
-
-
-def unescape_entities(text: Column) -> Column:
-    """Numbered and common named character references as characters, each once."""
-    parts = F.regexp_extract_all(text, F.lit("(?s)(&#x?[0-9A-Fa-f]+;|[^&]+|&)"), F.lit(1))
-
-    def one(part: Column) -> Column:
-        number = F.when(part.rlike("^&#[xX]"), F.conv(F.regexp_extract(part, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(part, "([0-9]+);", 1))
-        code = number.try_cast("int")
-        # Characters up to 255 directly; higher ones by their UTF-16 form.
-        return F.when(part.rlike("^&#x?[0-9A-Fa-f]+;$") & code.isNotNull() & (code > 0) & (code < 65536), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise(part)
-
-    numbered = F.array_join(F.transform(parts, one), "")
-    for name, plain in ENTITIES:
-        numbered = F.replace(numbered, F.lit(name), F.lit(plain))
-    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
-
+from serospark.functions.markup import OPEN, attributes, tokens
 
 def folded_path(path: Column) -> Column:
     """A path without ``.`` and ``..`` steps, however many there are."""
@@ -59,17 +42,35 @@ def resolve_url(base: Column, href: Column) -> Column:
     return F.when(joined.rlike(whole), F.concat(start, folded_path(path), rest)).otherwise(joined)
 
 
+def _anchors(suffix: str):
+    """Batches of ``(url, html)`` to ``(url, position, href)`` of the anchors whose target ends in ``suffix``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, positions, targets = [], [], []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                position = 0
+                for kind, name, rest in tokens(html or ""):
+                    if kind != OPEN or name != "a" or (href := attributes(rest).get("href")) is None:
+                        continue
+                    href = href.strip(" \t\n\r\f")
+                    if href.endswith(suffix):
+                        owners.append(i)
+                        positions.append(position)
+                        targets.append(href)
+                    position += 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(positions, pa.int32()), pa.array(targets, pa.string())], names=["url", "position", "href"])
+    return run
+
+
 def extract_links(pages: DataFrame, suffix: str = ".pdf", html: str = "html", url: str = "url") -> DataFrame:
     """``(url, position, link)``: anchors whose target ends in ``suffix``, resolved against the page.
 
-    Targets are quoted in either way or not at all; character references are read.
+    Pages are read by an HTML tokeniser: what stands in comments, scripts and attributes is no anchor, targets are
+    quoted in either way or not at all, and all character references are read. Positions count all anchors with a target.
     """
-    # Only one of the three groups is filled, so their parts are joined.
-    groups = [F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(g)) for g in (1, 2, 3)]
-    targets = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda t: F.concat(*[F.coalesce(t[f"g{i}"], F.lit("")) for i in range(3)]))
-    found = pages.select(url, F.posexplode_outer(targets).alias("position", "href")).filter("href IS NOT NULL")
-    kept = found.withColumn("href", F.trim(unescape_entities(F.col("href")))).filter(F.col("href").endswith(suffix))
-    return kept.select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
+    found = pages.select(F.col(url).alias("url"), html).mapInArrow(_anchors(suffix), "url string, position int, href string")
+    return found.select(F.col("url").alias(url), "position", resolve_url(F.col("url"), F.col("href")).alias("link"))
 
 
 def report_period(name: Column) -> Column:
