@@ -34,13 +34,18 @@ def _shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and (warehouse.startswith("file:") or ":" not in warehouse.split("/")[0]):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share; the warehouse is a folder of this machine")
+    return os.path.join(warehouse, "_scratch")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: ``spark.checkpoint.dir``, else a folder in the warehouse.
 
-    Both are places that the cluster shares; a machine-local temporary folder is never used.
+    Both are places that the cluster shares; a machine-local temporary folder is never used, and a warehouse on a machine's own
+    disk is refused unless the session is local.
     """
     shared = _shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
