@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from serospark.functions import sites as X
 from serospark.functions.constants import AMINO_ACIDS, SCALES
 from serospark.operators import metrics as M
 from serospark.operators import normalise as N
@@ -125,7 +126,7 @@ def _two_blocks(spark, sf_dir) -> DataFrame:
 @query("mean_impute", f"WITH {O.PAIRS}, {VOL_SQL} SELECT a, b, round(sum(v), 5) AS total FROM im GROUP BY a, b")
 def mean_impute(spark, sf_dir) -> DataFrame:
     filled = N.mean_impute(_two_blocks(spark, sf_dir), "v")
-    return filled.select("a", "b", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return filled.select("a", "b", F.round(X.array_total(F.col("v")), 5).alias("total"))
 
 
 @query("residualise", f"""WITH {O.PAIRS}, {VOL_SQL}, fit AS (SELECT site, coalesce(regr_slope(z, v), 0) AS k, coalesce(regr_intercept(z, v), avg(z)) AS c FROM im GROUP BY site)
@@ -134,7 +135,7 @@ def residualise(spark, sf_dir) -> DataFrame:
     blocks = _two_blocks(spark, sf_dir)
     filled = N.mean_impute(N.mean_impute(blocks, "v"), "z")
     out = N.residualise(filled, "v", "z", "r")
-    return out.select("a", "b", F.round(F.aggregate("r", F.lit(0.0), lambda s, x: s + F.abs(x)), 4).alias("total"))
+    return out.select("a", "b", F.round(X.array_total(F.col("r"), absolute=True), 4).alias("total"))
 
 
 @query("residual_fit", """SELECT CAST(l_linenumber AS BIGINT) AS site, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY l_linenumber""")
