@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from serospark.llm.texts import portions
 from serospark.llm.tokens import encoder
 from serospark.session import cut_lineage
 
 CAPACITY = 4096
+# Bytes of text whose ids are held at once; a longer text is still one portion.
+PORTION_BYTES = 1 << 22
 # The scheme is planned with each number of groups and each share of the capacity up to which lengths
 # are small; the plan with the fewest sequences is kept.
 GROUPS = (16, 64, 256)
@@ -186,12 +189,16 @@ def plan_table(runs: list[Run]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), table.T))
 
 
-def cut_pieces(path: str, capacity: int, end_id: int):
-    """Arrow batches of ``(doc_id, text)`` to pieces, numbered per length within the task."""
+def cut_pieces(path: str, capacity: int, end_id: int, portion_bytes: int = PORTION_BYTES):
+    """Arrow batches of ``(doc_id, text)`` to pieces, numbered per length within the task.
+
+    A batch may hold many megabytes of text, and ids with their places take several times that, so a batch is worked
+    on in portions.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1, portion_bytes)):
             ids, sizes = encoder(path).closed(batch.column(1), end_id)
             count = -(-sizes // capacity)  # pieces of each document
             owner = np.repeat(np.arange(len(sizes)), count)
@@ -199,7 +206,7 @@ def cut_pieces(path: str, capacity: int, end_id: int):
             start = piece * capacity
             length = np.minimum(capacity, sizes[owner] - start)
             begin = (np.cumsum(sizes) - sizes)[owner] + start
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
             crcs = [zlib.crc32(raw[4 * b:4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
             # Ranks go on per length: the place among equal lengths of the batch, after those seen before.
             order = np.argsort(length, kind="stable")
@@ -210,7 +217,7 @@ def cut_pieces(path: str, capacity: int, end_id: int):
             seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()),
-                 pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], names=names)
+                 pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], names=names)
     return run
 
 

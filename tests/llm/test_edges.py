@@ -90,6 +90,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_packing_holds_ids_of_few_texts(monkeypatch):
+    """A batch is encoded in portions; pieces, places and ranks are those of the whole batch."""
+    held = []
+
+    class Watched(tokens.Encoder):
+        def closed(self, texts, end_id):
+            held.append(sum(len(t or "") for t in texts.to_pylist()))
+            return super().closed(texts, end_id)
+
+    made = Watched(TOKENIZER)
+    monkeypatch.setattr(packing, "encoder", lambda path: made)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    listed = [t for _, t in ROWS if t is None or len(t) < 100] * 40 + [LONG[:5000], None, "", "alpha beta"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(listed)), pa.int64()), "text": pa.array(listed, pa.string())})
+    found = [pa.Table.from_batches(packing.cut_pieces(TOKENIZER, 64, 1, size)(iter([batch, batch.slice(0, 0)]))).to_pylist() for size in (1 << 30, 500)]
+    assert found[0] == found[1] and len(found[0]) > len(listed)
+    assert max(held[1:]) == 5000 and sorted(held[1:])[-2] <= 500
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plans_hold_every_length(seed):
     rng = np.random.default_rng(seed)
