@@ -15,6 +15,8 @@ from serospark.session import cut_lineage, drop_table
 
 # Folders that the ends of cells are dealt to, so that a round of peeling opens only those of the keys it removes.
 BUCKETS = 32
+# Keys removed in one round that are sent to the ends of cells; with more of them both are shuffled.
+SENT_KEYS = 100_000
 # Nodes that a task joins before it hands their trees on.
 HELD_NODES = 1 << 20
 
@@ -27,13 +29,15 @@ def prune_sparse(
     min_valid: int = 4,
     limit: int = LIMIT,
     buckets: int = BUCKETS,
+    sent_keys: int = SENT_KEYS,
 ) -> DataFrame:
     """Drop rows and columns with fewer than ``min_valid`` numeric cells until nothing changes.
 
     Every key (a row or a column) has a count. Both counts of a round are taken on the same state: the keys below
     ``min_valid`` go, and a decrement is sent along each of their cells to the other end. A key goes once, so over all
     rounds a numeric cell sends at most two decrements, however many rounds a chain of removals takes. The ends of
-    cells are written once, in folders by hash of the key; a round reads the folders of the keys it removes.
+    cells are written once, in folders by hash of the key; a round reads the folders of the keys it removes. Up to ``sent_keys``
+    removed keys are broadcast, so the ends are shuffled only in rounds that remove more.
     """
     if min_valid <= 0:
         return cells
@@ -45,9 +49,10 @@ def prune_sparse(
     counts = cut_lineage(ends.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("bucket", bucket), "counts")
     hot = hot_keys(counts, key, limit)
     state, first = counts, counts
-    while touched := [r["bucket"] for r in state.filter(F.col("_n") < min_valid).select("bucket").distinct().collect()]:  # at most ``buckets`` numbers
+    while touched := {r["bucket"]: r["count"] for r in state.filter(F.col("_n") < min_valid).groupBy("bucket").count().collect()}:  # at most ``buckets`` rows
         removed = state.filter(F.col("_n") < min_valid).select(*key)
-        sent = sliced_join(ends.filter(F.col("bucket").isin(touched)), removed, key, "inner", hot)
+        own = ends.filter(F.col("bucket").isin(list(touched)))
+        sent = sliced_join(own, removed, key, "inner", None if sum(touched.values()) <= sent_keys else hot)
         lost = sent.select((~F.col("is_row")).alias("is_row"), F.col("other").alias("key")).groupBy(*key).agg(F.count(F.lit(1)).alias("_lost"))
         left = state.filter(F.col("_n") >= min_valid).join(lost, key, "left")
         following = cut_lineage(left.select(*key, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n"), "bucket"), "counts")

@@ -124,6 +124,26 @@ def test_prune_follows_chains(spark, rows, length):
         G.sliced_join = plain
 
 
+def test_few_removed_keys_are_sent_to_the_cells(spark, rows, monkeypatch):
+    """Rounds that remove few keys shuffle no ends of cells; those that remove more slice hot keys as before."""
+    cells = [(f"r{i}", f"c{j}", "40") for i in range(6) for j in range(6)] + [("x", "c0", "40"), ("x", "y", "40"), ("z", "y", "80")]
+    df = spark.createDataFrame(cells, "virus_1 string, virus_2 string, titre string")
+    plans, plain = [], G.sliced_join
+
+    def watched(*a):
+        out = plain(*a)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(G, "sliced_join", watched)
+    want = sorted(cells[:36])
+    assert rows(G.prune_sparse(df)) == want
+    assert plans and all("strategy=broadcast" in p and "_slice" not in p for p in plans)
+    plans.clear()
+    assert rows(G.prune_sparse(df, sent_keys=0)) == want
+    assert plans and all("_slice" in p for p in plans)
+
+
 def test_tasks_hand_on_stars(spark):
     """Within a task all edges become one star a component; portions of few nodes lose no link."""
     rng = random.Random(3)
