@@ -178,3 +178,22 @@ def test_ids_follow_the_order_of_names(spark):
         found = [r["name"] for r in ids.orderBy(label).collect()]
         assert found == sorted(found) and len(found) == 1000
     assert sorted(r["k"] for r in skew.dense_ids(names, "k").collect()) == list(range(1000))
+
+
+def test_crowded_keys_are_the_hot_keys_of_a_table(spark, rows):
+    names = [("x",)] * 30 + [("y",)] * 12 + [(None,)] * 50 + [(f"k{i}",) for i in range(200)]
+    df = spark.createDataFrame(names, "a string")
+    counts = df.dropna().groupBy("a").count().withColumnRenamed("count", "_n")
+    assert rows(skew.crowded_keys(df, "a", 11)) == rows(skew.hot_keys(counts, ["a"], 11)) == [("x", 3), ("y", 2)]
+    assert skew.crowded_keys(df, "a", 30) is None
+    assert skew.crowded_keys(df.limit(0), "a", 1) is None
+
+
+def test_sequences_are_shuffled_once_for_both_ends(spark, rows):
+    far = spark.createDataFrame([("p", "q", 1.0), ("q", "p", 1.0), ("p", None, 2.0), ("q", "z", 3.0)], "a string, b string, dist double")
+    seqs = spark.createDataFrame([("p", "AC", 1), ("q", "AD", 2)], "name string, seq string, pos int")
+    want = [("p", "q", 1.0, "AC", "AD")]
+    assert rows(PO.labelled_pairs(far, seqs, "pos"), "a", "b", "dist", "seq_a", "seq_b") == want
+    assert rows(PO.labelled_pairs(far, seqs, "pos", limit=1), "a", "b", "dist", "seq_a", "seq_b") == want
+    plan = PO.labelled_pairs(far, seqs, "pos")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" not in plan
